@@ -132,22 +132,24 @@ def row_sets(h: np.ndarray, word_off: np.ndarray, width: int = 5) -> list[np.nda
 
 
 def runs(batches, keys: list[str]):
-    """Record batches of consecutive rows with equal keys from a sorted stream, one per run."""
-    held = None
+    """Tables of consecutive rows with equal keys from a sorted stream, one per run."""
+    held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        if held is not None:
-            t = pa.concat_tables([held, t]).combine_chunks()
-        cut = np.zeros(t.num_rows, dtype=bool)
-        cut[0] = True
+        cut = np.zeros(batch.num_rows, dtype=bool)
         for k in keys:
-            v = t[k].to_numpy(zero_copy_only=False)
+            v = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
             cut[1:] |= v[1:] != v[:-1]
-        at = np.flatnonzero(cut).tolist()
+        row = [batch.column(batch.schema.get_field_index(k))[0].as_py() for k in keys]
+        if held and row != last:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        at = [0, *np.flatnonzero(cut).tolist()]
         for a, b in zip(at[:-1], at[1:]):
-            yield t.slice(a, b - a)
-        held = t.slice(at[-1])
-    if held is not None and held.num_rows:
-        yield held
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)]).combine_chunks()
+            held = []
+        held.append(batch.slice(at[-1]))
+        last = [batch.column(batch.schema.get_field_index(k))[batch.num_rows - 1].as_py() for k in keys]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
