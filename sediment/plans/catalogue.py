@@ -1,4 +1,346 @@
-"""Queries by name, and the SQL they are held against."""
+"""Queries by name over the test tables, and the SQL they are held against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import scalars as S
+from ..operators import identity, profile, project, shapes
+from ..operators.cells import cells
+from ..operators.clock import rank_clocks
+from ..sources import syslog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return d.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in d.schema.fields])
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Classes for the words of part names.
+CLASSES = [
+    {"name": "red thing", "template": "red <NAME>", "retention": "keep"},
+    {"name": "small", "template": "small", "retention": "drop"},
+    {"name": "bolt", "template": "<NAME> bolt", "retention": "demote"},
+    {"name": "small bolt", "template": "small <X> bolt", "retention": "keep"},
+    {"name": "widget", "template": "NAME widget SIZE", "retention": "keep-extended"},
+]
+_CLASS_SQL = "(VALUES (0,'red thing',' red ',1,2),(1,'small',' small ',1,1),(2,'bolt',' bolt ',1,2),(3,'small bolt',' small (?:.* )?bolt ',2,3),(4,'widget',' widget ',1,3)) AS c(place,name,pattern,specificity,raw_words)"
+_PLACEHOLDER_SQL = S.PLACEHOLDER.replace("'", "''")
+
+
+def _cells_sql(name: str, pos: str, fields: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {pos} AS pos, '{f}' AS field, CAST({f} AS VARCHAR) AS sval FROM {name}" for f in fields)
+
+
+def _profile_sql(name: str, pos: str, fields: list[str]) -> str:
+    return f"""WITH cells AS ({_cells_sql(name, pos, fields)}) SELECT field, count(*) AS present,
+count(*) FILTER (sval <> '') AS non_null, count(DISTINCT CASE WHEN sval <> '' THEN sval END) AS "distinct",
+round(count(*) FILTER (sval <> '') / count(*), 6) AS fill_rate,
+round(coalesce(count(DISTINCT CASE WHEN sval <> '' THEN sval END) / nullif(count(*) FILTER (sval <> ''), 0), 0), 6) AS cardinality,
+round(coalesce(sum(length(sval)) FILTER (sval <> '') / nullif(count(*) FILTER (sval <> ''), 0), 0), 6) AS mean_length,
+coalesce(max(length(sval)) FILTER (sval <> ''), 0) AS max_length,
+round(coalesce(count(*) FILTER (regexp_matches(sval, '{_PLACEHOLDER_SQL}')) / nullif(count(*) FILTER (sval <> ''), 0), 0), 6) AS placeholder_rate
+FROM cells GROUP BY field"""
+
+
+def _profiled(c: DataFrame) -> DataFrame:
+    return profile.profile_fields(c).select("field", "present", "non_null", "distinct", *r6("fill_rate", "cardinality", "mean_length"), "max_length", *r6("placeholder_rate"))
+
+
+@query(_profile_sql("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+def profile_fields_customer(spark, sf_dir):
+    """A1, A2, A4"""
+    return _profiled(cells(table(spark, sf_dir, "customer"), "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+
+
+@query(_profile_sql("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
+def profile_fields_orders(spark, sf_dir):
+    return _profiled(cells(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
+
+
+@query(_profile_sql("documents", "doc_id", ["text", "lang", "source"]))
+def placeholder_rate(spark, sf_dir):
+    """PF3, PF7"""
+    return _profiled(cells(table(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"]))
+
+
+@query("""SELECT * FROM (VALUES ('p_partkey','int'),('p_name','str'),('p_size','int'),('p_retailprice','float')) AS t(field, kind)""")
+def value_kind(spark, sf_dir):
+    """F1, A3"""
+    return profile.dominant_kinds(cells(table(spark, sf_dir, "part"), "p_partkey", ["p_partkey", "p_name", "p_size", "p_retailprice"]))
+
+
+_PAGES = ["page_id", "url", "html"]
+
+
+@query("""WITH cells AS (SELECT event_id AS pos, 'event_id' AS field, CAST(event_id AS VARCHAR) AS sval FROM events UNION ALL SELECT event_id, 'event_type', event_type FROM events UNION ALL SELECT event_id, 'props', props FROM events),
+v AS (SELECT field, trim(sval) AS s FROM cells WHERE sval <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY pos) <= 500)
+SELECT field, CASE WHEN bool_and(regexp_matches(s, '^[0-9]+$')) THEN 'integer' WHEN bool_and(regexp_matches(s, '^[0-9a-fA-F]{6,}$')) THEN 'hex' WHEN bool_and(NOT contains(s, ' ')) THEN 'token' WHEN avg(length(s)) > 40 THEN 'free-text' ELSE 'token' END AS shape FROM v GROUP BY field""")
+def value_shape(spark, sf_dir):
+    """F2"""
+    return profile.value_shapes(cells(table(spark, sf_dir, "events"), "event_id", ["event_id", "event_type", "props"]))
+
+
+@query("""SELECT event_id, epoch_us(ts) // 1000000 * 1000000 AS s, epoch_us(ts) // 1000 * 1000 AS ms, epoch_us(ts) AS us, CAST(NULL AS BIGINT) AS small FROM events""")
+def clock_epoch_parse(spark, sf_dir):
+    """F3, with seconds, milliseconds and microseconds written as text"""
+    e = table(spark, sf_dir, "events").withColumn("u", F.unix_micros("ts"))
+    text = lambda d: F.floor(F.col("u") / d).cast("string")
+    return e.select("event_id", S.epoch_micros(text(1_000_000)).alias("s"), S.epoch_micros(text(1000)).alias("ms"), S.epoch_micros(F.col("u").cast("string")).alias("us"), S.epoch_micros(F.col("event_id").cast("string")).alias("small"))
+
+
+@query("""WITH t AS (SELECT event_id, date_trunc('second', ts) AS s FROM events) SELECT event_id, epoch_us(s) AS iso, epoch_us(s) AS iso_zone, epoch_us(date_trunc('day', s)) AS iso_day, epoch_us(s) AS dmy, epoch_us(s) AS common, epoch_us(try_strptime('1900' || strftime(s, '-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS bsd, CAST(NULL AS BIGINT) AS none FROM t""")
+def clock_iso_dmy_common(spark, sf_dir):
+    """F4 to F8"""
+    e = table(spark, sf_dir, "events").withColumn("s", F.date_trunc("second", "ts"))
+    f = lambda form: F.date_format("s", form)
+    return e.select(
+        "event_id",
+        S.clock_micros(f("yyyy-MM-dd HH:mm:ss")).alias("iso"),
+        S.clock_micros(F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("iso_zone"),
+        S.clock_micros(f("yyyy-MM-dd")).alias("iso_day"),
+        S.clock_micros(f("dd/MM/yyyy HH:mm:ss")).alias("dmy"),
+        S.clock_micros(F.concat(f("dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))).alias("common"),
+        S.clock_micros(f("MMM d HH:mm:ss")).alias("bsd"),
+        S.clock_micros(F.col("event_type")).alias("none"),
+    )
+
+
+@query("""WITH s AS (SELECT event_id AS pos, ts FROM events WHERE event_id < 20000), d AS (SELECT ts >= lag(ts) OVER (ORDER BY pos) AS up, ts FROM s)
+SELECT 'ts' AS field, 'iso8601' AS strategy, 1.0::DOUBLE AS parse_rate, round(coalesce(avg(up::INT), 1), 6) AS monotonic, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, round(0.5 + 0.5 * coalesce(avg(up::INT), 1), 6) AS score, 1 AS rank FROM d""")
+def clock_rank(spark, sf_dir):
+    """PF4, A13, W1, F9, T1"""
+    c = rank_clocks(cells(table(spark, sf_dir, "events"), "event_id", ["ts", "event_type", "user_id"]))
+    return c.select("field", "strategy", *r6("parse_rate", "monotonic"), "first", "last", *r6("score"), "rank")
+
+
+def _identity_sql(name: str, keys: dict[str, str], clock: str) -> str:
+    union = " UNION ALL ".join(f"SELECT '{k}' AS candidate, {e} AS key, epoch_us({clock}) AS t FROM {name}" for k, e in keys.items())
+    return f"""WITH r AS (SELECT * FROM ({union}) WHERE key IS NOT NULL), g AS (SELECT candidate, key, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM r GROUP BY ALL),
+a AS (SELECT candidate, count(*) AS groups, count(*) FILTER (n = 1) AS singletons, sum(n) / count(*) AS mean_size, (max(t1) - min(t0)) / 86400e6 AS span_days, sum(n) AS rows,
+median(CASE WHEN n >= 2 THEN (t1 - t0) / 86400e6 END) AS own_days, median(CASE WHEN n >= 2 AND t1 > t0 THEN n / ((t1 - t0) / 86400e6) END) AS own_rate, list_sort(list(n))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95_size FROM g GROUP BY candidate),
+gap AS (SELECT candidate, median(d) AS median_gap_s FROM (SELECT candidate, (t - lag(t) OVER (PARTITION BY candidate, key ORDER BY t)) / 1e6 AS d FROM r) GROUP BY candidate)
+SELECT candidate, groups, singletons, p95_size, round(mean_size, 6) AS mean_size, round(span_days, 6) AS span_days, round(own_days, 6) AS own_days, round(own_rate, 4) AS own_rate, round(median_gap_s, 4) AS median_gap_s, round(CASE WHEN span_days > 0 THEN rows / span_days END, 4) AS rate_per_day,
+CASE WHEN singletons / groups > 0.95 THEN 'noise' WHEN own_days IS NOT NULL AND span_days > 0 THEN CASE WHEN own_days / span_days < 0.05 AND mean_size < 1000 THEN 'session' WHEN mean_size >= 50 THEN 'bucket' ELSE 'entity' END WHEN mean_size >= 50 THEN 'bucket' WHEN mean_size >= 2 THEN 'entity' ELSE 'noise' END AS verdict FROM a JOIN gap USING (candidate)"""
+
+
+def _identity(records: DataFrame, keys: list[tuple[str, ...]], clock: str) -> DataFrame:
+    m = identity.measure(records, keys, F.unix_micros(clock))
+    return m.select("candidate", "groups", "singletons", "p95_size", *r6("mean_size", "span_days", "own_days"), *[F.round(c, 4).alias(c) for c in ("own_rate", "median_gap_s", "rate_per_day")], "verdict")
+
+
+def _singles(names: list[str]) -> list[tuple[str, ...]]:
+    return [(n,) for n in names]
+
+
+_EVENT_KEYS = ["event_id", "user_id", "event_type", "props"]
+
+
+@query(_identity_sql("events", {k: f"CAST({k} AS VARCHAR)" for k in _EVENT_KEYS}, "ts"))
+def identity_singles_events(spark, sf_dir):
+    """A6 to A12 and the verdict"""
+    return _identity(table(spark, sf_dir, "events"), _singles(_EVENT_KEYS), "ts")
+
+
+_ORDER_KEYS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(_identity_sql("orders", {k: f"CAST({k} AS VARCHAR)" for k in _ORDER_KEYS}, "o_orderdate"))
+def identity_singles_orders(spark, sf_dir):
+    return _identity(table(spark, sf_dir, "orders"), _singles(_ORDER_KEYS), "o_orderdate")
+
+
+@query(_identity_sql("lineitem", {"l_linenumber+l_orderkey": "l_linenumber || '+' || l_orderkey", "l_orderkey+l_suppkey": "l_orderkey || '+' || l_suppkey", "l_partkey+l_suppkey": "l_partkey || '+' || l_suppkey"}, "l_shipdate"))
+def identity_pairs(spark, sf_dir):
+    """J4"""
+    return _identity(table(spark, sf_dir, "lineitem"), [("l_linenumber", "l_orderkey"), ("l_orderkey", "l_suppkey"), ("l_partkey", "l_suppkey")], "l_shipdate")
+
+
+@query(_identity_sql("events", {"hour": "strftime(ts, '%Y-%m-%d %H')"}, "ts"))
+def identity_session(spark, sf_dir):
+    """Rule 5: events of an hour are a burst"""
+    return _identity(table(spark, sf_dir, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH")), [("hour",)], "ts")
+
+
+@query(None)
+def identity_partial(spark, sf_dir):
+    """T7 and rule 4: with a scan that hit its limit, keys seen once are undetermined"""
+    first = table(spark, sf_dir, "events").orderBy("event_id").limit(1000)
+    return identity.measure(first, _singles(_EVENT_KEYS), F.unix_micros("ts"), partial=True).select("candidate", "groups", "verdict")
+
+
+@query(None)
+def content_rank(spark, sf_dir):
+    """A15, PF5, T4"""
+    return profile.content_rank(cells(table(spark, sf_dir, "customer"), "c_custkey"))
+
+
+_LINES = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+def _mask_sql(c: str) -> str:
+    for m in S.MASKS:
+        c = f"regexp_replace({c}, '{m}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_WORDS_SQL = "[" + ",".join(f"'{w}'" for w in S.FUNCTION_WORDS) + "]"
+_SKELETON_SQL = f"""l AS (SELECT line, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM {_LINES} WHERE regexp_full_match(line, '[ -~]*')),
+m AS (SELECT line, s, {_mask_sql('s')} AS w FROM l),
+k AS (SELECT line, CASE WHEN s <> '' AND length(s) <= 480 AND w <> '' AND len(string_split(w, ' ')) <= 14 AND len(list_filter(string_split(w, ' '), lambda x: list_contains({_WORDS_SQL}, lower(x)))) < 2 THEN substr(w, 1, 120) END AS shape FROM m)"""
+
+
+def _ascii_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("^[ -~]*$"))
+
+
+@query(f"WITH {_SKELETON_SQL} SELECT shape, count(*) AS n FROM k WHERE line <> '' GROUP BY shape")
+def shape_counts(spark, sf_dir):
+    """F10, F11, A14, T5"""
+    return shapes.shape_counts(_ascii_lines(spark, sf_dir), "line")
+
+
+@query(f"WITH {_SKELETON_SQL} SELECT count(*) AS lines, count(*) FILTER (shape IS NULL AND line <> '') AS untemplatable, count(*) FILTER (line = '') AS empty, count(DISTINCT shape) AS shapes FROM k")
+def untemplatable_share(spark, sf_dir):
+    line = F.col("line")
+    shape = F.when(S.non_empty(line), S.skeleton(line))
+    x = _ascii_lines(spark, sf_dir).select("line", shape.alias("shape"))
+    return x.agg(F.count("*").alias("lines"), F.count_if(F.col("shape").isNull() & (line != "")).alias("untemplatable"), F.count_if(line == "").alias("empty"), F.countDistinct("shape").alias("shapes"))
+
+
+_PART = "s AS (SELECT p_name AS shape, count(*) AS n FROM part GROUP BY 1)"
+_MATCH = f"{_PART}, m AS (SELECT * FROM s JOIN {_CLASS_SQL} ON regexp_matches(' ' || shape || ' ', pattern))"
+
+
+def _part_matches(spark, sf_dir):
+    s = shapes.shape_counts(table(spark, sf_dir, "part"), "p_name")
+    return s, shapes.matches(s, shapes.templates(spark, CLASSES))
+
+
+@query(f"WITH {_MATCH} SELECT shape, name, n FROM m")
+def template_match(spark, sf_dir):
+    """J1, F12 to F14"""
+    return _part_matches(spark, sf_dir)[1].select("shape", "name", "n")
+
+
+def _owner_query(rule: str, order: str):
+    @query(f"WITH {_MATCH} SELECT shape, n, name FROM m QUALIFY row_number() OVER (PARTITION BY shape ORDER BY {order}) = 1")
+    def owner(spark, sf_dir):
+        return shapes.owners(_part_matches(spark, sf_dir)[1], rule).select("shape", "n", "name")
+
+    for d in (QUERIES, ORACLE):
+        d[f"owner_{rule}"] = d.pop("owner")
+
+
+for _rule, _order in (("specific", "specificity DESC, place"), ("longest", "raw_words DESC, place"), ("declared", "place")):
+    _owner_query(_rule, _order)
+
+_OWN = f"{_MATCH}, o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY shape ORDER BY specificity DESC, place) = 1)"
+
+
+@query(f"WITH {_OWN} SELECT (SELECT sum(n) FROM o)::BIGINT AS covered, (SELECT sum(n) FROM s)::BIGINT AS total, (SELECT count(*) FROM s WHERE shape NOT IN (SELECT shape FROM o)) AS residue_shapes")
+def class_coverage(spark, sf_dir):
+    """A16, A17, J5"""
+    s, m = _part_matches(spark, sf_dir)
+    own = shapes.owners(m)
+    rest = shapes.residue(s, own).agg(F.count("*").alias("residue_shapes"))
+    return own.agg(F.sum("n").alias("covered")).crossJoin(s.agg(F.sum("n").alias("total"))).crossJoin(rest)
+
+
+@query(f"WITH {_OWN} SELECT shape, n FROM s WHERE shape NOT IN (SELECT shape FROM o) ORDER BY n DESC, shape LIMIT 8")
+def residue_topk(spark, sf_dir):
+    s, m = _part_matches(spark, sf_dir)
+    return shapes.residue(s, shapes.owners(m)).orderBy(F.desc("n"), "shape").limit(8)
+
+
+@query(f"WITH {_OWN} SELECT p_partkey, name AS class FROM part LEFT JOIN o ON p_name = shape")
+def classify_records(spark, sf_dir):
+    """J2"""
+    m = _part_matches(spark, sf_dir)[1]
+    return shapes.classify(table(spark, sf_dir, "part"), "p_name", shapes.owners(m)).select("p_partkey", "class")
+
+
+@query(f"WITH {_OWN} SELECT count(*) AS seen, count(name) AS classified, count(*) - count(name) AS unclassified FROM part LEFT JOIN o ON p_name = shape")
+def classifier_report(spark, sf_dir):
+    """A19"""
+    m = _part_matches(spark, sf_dir)[1]
+    c = shapes.classify(table(spark, sf_dir, "part"), "p_name", shapes.owners(m))
+    return c.agg(F.count("*").alias("seen"), F.count("class").alias("classified"), F.count_if(F.col("class").isNull()).alias("unclassified"))
+
+
+@query("SELECT page_id, list_aggregate(ids, 'string_agg', ',') AS ids FROM (SELECT page_id, list_transform(list_sort(list_distinct(regexp_extract_all(html, 'href=\"/([A-Za-z]+)', 1))), lambda x: x) AS ids FROM pages)")
+def message_ids(spark, sf_dir):
+    """F15; sorted here, as SQL's distinct keeps no order"""
+    p = table(spark, sf_dir, "pages")
+    ids = F.array_join(F.array_sort(S.message_ids(F.col("html"), 'href="/([A-Za-z]+)')), ",")
+    return p.select("page_id", F.nullif(ids, F.lit("")).alias("ids"))
+
+
+@query("""WITH i AS (SELECT list_distinct(regexp_extract_all(props, '"k": ([0-9]+)', 1)) AS ids FROM events) SELECT count(*) AS records, count(*) FILTER (len(ids) > 0) AS records_with_id, count(*) FILTER (len(ids) > 1) AS records_with_several, (SELECT count(DISTINCT x) FROM (SELECT unnest(ids) AS x FROM i)) AS distinct_ids FROM i""")
+def message_id_stats(spark, sf_dir):
+    """A18, W6"""
+    return project.message_id_stats(table(spark, sf_dir, "events"), "props", '"k": ([0-9]+)')
+
+
+@query("""SELECT regexp_extract(props, '"k": ([0-9]+)', 1) AS id, count(*) AS n, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY 1""")
+def message_lifecycles(spark, sf_dir):
+    """Extension"""
+    return project.message_lifecycles(table(spark, sf_dir, "events"), "props", '"k": ([0-9]+)', F.unix_micros("ts"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS time, 'exact' AS precision, user_id || ':' || event_type AS canonical_name, props AS body_text, regexp_extract(props, '"k": ([0-9]+)', 1) AS message_id, 'app' AS stream FROM events""")
+def project_events(spark, sf_dir):
+    """F16 to F18 and the event struct, flattened"""
+    schema = {"identity_key": ["user_id", "event_type"], "time_field": "ts", "stream": "app", "record_layers": {"envelope": [{"path": "ts", "role": "context"}, {"path": "user_id", "role": "identity"}], "payload": [{"path": "props", "role": "content"}]}, "classes": [], "message_key": {"name": "k", "field": "props", "pattern": '"k": ([0-9]+)'}}
+    e = project.project(schema, table(spark, sf_dir, "events"), "event_id")
+    return e.select(F.col("index").alias("event_id"), "wall.time", "wall.precision", "identity.canonical_name", "content.body_text", F.get("message.ids", F.lit(0)).alias("message_id"), F.col("stream_hint").alias("stream"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, 'h' || (user_id % 7) AS host, event_type AS ident, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE '' END AS pid, props AS message FROM events""")
+def syslog_bsd_parse(spark, sf_dir):
+    """SRC12, SRC16"""
+    e = table(spark, sf_dir, "events")
+    pid = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("["), F.col("user_id"), F.lit("]"))).otherwise("")
+    day = F.lpad(F.dayofmonth("ts").cast("string"), 2, " ")
+    line = F.concat(F.date_format("ts", "MMM"), F.lit(" "), day, F.lit(" "), F.date_format("ts", "HH:mm:ss"), F.lit(" h"), F.col("user_id") % 7, F.lit(" "), F.col("event_type"), pid, F.lit(": "), F.col("props"))
+    p = syslog.parse_bsd(line, F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    return e.select("event_id", p.alias("p")).select("event_id", "p.stamp", "p.host", "p.ident", "p.pid", "p.message")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'h1' AS host, event_type AS ident, user_id::VARCHAR AS pid, props AS message FROM events""")
+def syslog_5424_parse(spark, sf_dir):
+    """SRC13"""
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("<134>1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" h1 "), F.col("event_type"), F.lit(" "), F.col("user_id"), F.lit(' ID47 [a b="c"] '), F.col("props"))
+    return e.select("event_id", syslog.parse_rfc5424(line).alias("p")).select("event_id", "p.stamp", "p.host", "p.ident", "p.pid", "p.message")
+
+
+@query("""WITH l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+x AS (SELECT doc_id, CASE WHEN trim(line) = '' THEN NULL ELSE line END AS line FROM l) SELECT doc_id, count(line) AS lines FROM x GROUP BY doc_id""")
+def continuation_lines(spark, sf_dir):
+    """SRC14, W5: every line after a document's first joins it; lines joined and left over add up"""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rec, bad = syslog.join_continuations(d, F.col("pos") == 0)
+    a = rec.groupBy("file").agg(F.sum(F.col("joined") + 1).alias("a"))
+    b = bad.groupBy("file").agg(F.count("*").alias("b"))
+    all_ = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"))
+    return all_.join(a, "file", "left").join(b, "file", "left").select(F.col("file").alias("doc_id"), (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("lines"))
