@@ -124,9 +124,12 @@ def redact_documents(documents: DataFrame, tmp: Scratch, rules=BASE + MORE) -> D
     with findings is rewritten.
     """
     findings, _ = scan(documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), tmp, rules=rules)
-    blob = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select("blob", "spans")
-    d = documents.withColumn("blob of text", F.unhex(F.sha2("text", 256))).join(blob.hint("shuffle_hash"), F.col("blob of text") == F.col("blob"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans")))
-    d = d.withColumn("new text", text)
-    cols = {"text": F.col("new text"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("new text").cast("long")) if "n_chars" in documents.columns else None}
-    return d.select(*[cols[c].alias(c) if cols.get(c) is not None else F.col(f"`{c}`") for c in documents.columns])
+    # names that no table has: the documents may have columns called blob or spans
+    hit = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("secret: blob"), F.col("spans").alias("secret: spans"))
+    d = documents.withColumn("secret: of", F.unhex(F.sha2("text", 256))).join(hit.hint("shuffle_hash"), F.col("secret: of") == F.col("secret: blob"), "left")
+    none = F.col("secret: spans").isNull()
+    d = d.withColumn("secret: text", F.when(none, F.col("text")).otherwise(redact(F.col("text"), F.col("secret: spans"))))
+    new = {"text": F.col("secret: text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(none, F.col("n_chars")).otherwise(F.length("secret: text").cast("long"))
+    return d.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
