@@ -47,6 +47,10 @@ class Measurement:
         self.cells = cells(self.records, pos, self.names)
         self._kept: dict = {}
 
+    def close(self) -> None:
+        for df in (self.records, *(v for v in self._kept.values() if isinstance(v, DataFrame))):
+            df.unpersist()
+
     def _once(self, key, make):
         if key not in self._kept:
             self._kept[key] = make()
