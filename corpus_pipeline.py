@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sediment.llm._scratch import Scratch
 from sediment.llm.decontamination import decontaminate
-from sediment.llm.language_id import predict, train
+from sediment.llm.language_id import accepted_documents, train
 from sediment.llm.minhash_dedup import near_duplicates
 from sediment.llm.secret_scan import redact_documents
 from sediment.llm.sentencepiece_codec import encode_documents
@@ -16,7 +16,7 @@ from sediment.llm.sentencepiece_codec import encode_documents
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model is sure enough of; learnt from the labels of four fifths of them."""
     model = train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    return predict(docs, model, docs.columns).filter("accepted").select(*docs.columns)
+    return accepted_documents(docs, model)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
