@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ def main() -> None:
         began = time.time()
         f(spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(f"{name} {took[name]}", file=sys.stderr)
     print(json.dumps({"metric": "total wall time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/"))}))
 
 
