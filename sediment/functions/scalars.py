@@ -41,6 +41,11 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _BLANK, "")
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once a row however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def non_empty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -65,11 +70,14 @@ def skeleton(c: Column) -> Column:
 
 def epoch_micros(c: Column) -> Column:
     """Microseconds of a number that lies in the bounds of an epoch unit, else null."""
-    v = F.try_cast(stripped(c), "double") if hasattr(F, "try_cast") else stripped(c).try_cast("double")
-    out = F.lit(None).cast("long")
-    for lo, hi, unit in reversed(EPOCH_UNITS):
-        out = F.when((F.abs(v) >= lo) & (F.abs(v) <= hi), F.round(v * unit).cast("long")).otherwise(out)
-    return out
+
+    def scale(v: Column) -> Column:
+        out = F.lit(None).cast("long")
+        for lo, hi, unit in reversed(EPOCH_UNITS):
+            out = F.when((F.abs(v) >= lo) & (F.abs(v) <= hi), F.round(v * unit).cast("long")).otherwise(out)
+        return out
+
+    return once(stripped(c).try_cast("double"), scale)
 
 
 _DATE, _TIME, _ZONE = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?", r"(?:Z|[+-]\d{2}:?\d{2})?"
@@ -83,31 +91,48 @@ def _micros(ts: Column) -> Column:
 
 def iso_micros(c: Column) -> Column:
     """Microseconds of an ISO 8601 date or date and time, naive read as UTC, else null."""
-    s = stripped(c)
-    plain = F.regexp_replace(F.regexp_replace(s, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    basic = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?", "$1-$2-$3 $4:$5:$6")
-    basic = F.regexp_replace(basic, " ::", "")
-    full = F.when(s.rlike(ISO), plain).when(s.rlike(ISO_BASIC), basic)
-    return _micros(F.try_to_timestamp(full))
+
+    def full(s: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(s, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
+        basic = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?", "$1-$2-$3 $4:$5:$6")
+        return F.when(s.rlike(ISO), plain).when(s.rlike(ISO_BASIC), F.regexp_replace(basic, " ::", ""))
+
+    return _micros(F.try_to_timestamp(once(stripped(c), full)))
+
+
+def _first_form(s: Column, forms) -> Column:
+    """Microseconds by the first of (pattern, format, text before the value) that matches; formats are tried on matches only."""
+
+    def read(x: Column) -> Column:
+        out = F.lit(None).cast("timestamp")
+        for pattern, form, lead in reversed(forms):
+            whole = F.concat(F.lit(lead), x) if lead else x
+            out = F.when(x.rlike(pattern), F.try_to_timestamp(whole, F.lit(form))).otherwise(out)
+        return out
+
+    return _micros(once(s, read))
 
 
 def dmy_micros(c: Column) -> Column:
     """Microseconds of day/month/year times with / - or . between, else null."""
-    s = F.substring(stripped(c), 1, 19)
-    forms = ((r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d/M/yyyy H:m:s"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "d/M/yyyy H:m"), (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d-M-yyyy H:m:s"), (r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d.M.yyyy H:m:s"))
-    return _micros(F.coalesce(*[F.try_to_timestamp(F.when(s.rlike(p), s), F.lit(f)) for p, f in forms]))
+    forms = (
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d/M/yyyy H:m:s", ""),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "d/M/yyyy H:m", ""),
+        (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d-M-yyyy H:m:s", ""),
+        (r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "d.M.yyyy H:m:s", ""),
+    )
+    return _first_form(F.substring(stripped(c), 1, 19), forms)
 
 
 def common_micros(c: Column) -> Column:
     """Microseconds of common-log and BSD times; without a year, 1900; else null."""
-    s = F.regexp_replace(stripped(c), r"\s+", " ")
     forms = (
-        (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$", "d/MMM/yyyy:HH:mm:ss xx", s),
-        (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4} \d{2}:\d{2}:\d{2}$", "d/MMM/yyyy HH:mm:ss", s),
-        (r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}$", "yyyy MMM d HH:mm:ss", F.concat(F.lit("1900 "), s)),
-        (r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2} \d{4}$", "MMM d HH:mm:ss yyyy", s),
+        (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$", "d/MMM/yyyy:HH:mm:ss xx", ""),
+        (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4} \d{2}:\d{2}:\d{2}$", "d/MMM/yyyy HH:mm:ss", ""),
+        (r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}$", "yyyy MMM d HH:mm:ss", "1900 "),
+        (r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2} \d{4}$", "MMM d HH:mm:ss yyyy", ""),
     )
-    return _micros(F.coalesce(*[F.try_to_timestamp(F.when(s.rlike(p), x), F.lit(f)) for p, f, x in forms]))
+    return _first_form(F.regexp_replace(stripped(c), r"\s+", " "), forms)
 
 
 #: Strategies in the order they are tried; slash-date is the ISO parser by another name.
@@ -116,7 +141,7 @@ STRATEGIES = (("iso8601", iso_micros), ("epoch", epoch_micros), ("day-month-year
 
 def clock_micros(c: Column) -> Column:
     """Microseconds by the first strategy that reads the value."""
-    return F.coalesce(*[f(c) for _, f in STRATEGIES])
+    return once(c, lambda x: F.coalesce(*[f(x) for _, f in STRATEGIES]))
 
 
 def message_ids(c: Column, pattern: str) -> Column:

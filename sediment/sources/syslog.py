@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalars import once
 from .detect import BSD, RFC5424
 
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
@@ -25,7 +26,12 @@ def nearest_year(mon: Column, day: Column, hms: Column, reference: Column) -> Co
     made = lambda y: F.try_make_timestamp(y, month, day.cast("int"), part(1), part(4), F.substring(hms, 7, 2).cast("decimal(8,6)"))
     years = F.when(reference.isNull(), F.array(F.lit(1970))).otherwise(F.array(F.year(ref) - 1, F.year(ref), F.year(ref) + 1))
     gap = lambda t: F.abs(F.unix_micros(t) - F.unix_micros(ref))
-    found = F.array_sort(F.filter(F.transform(years, lambda y: F.struct(gap(made(y)).alias("gap"), made(y).alias("t"))), lambda x: x["t"].isNotNull()))
+    dates = F.filter(F.transform(years, made), lambda t: t.isNotNull())
+    found = F.array_sort(F.transform(dates, lambda t: F.struct(gap(t).alias("gap"), t.alias("t"))))
+    return once(found, lambda x: _chosen(x, reference, ref))
+
+
+def _chosen(found: Column, reference: Column, ref: Column) -> Column:
     best, next_ = F.get(found, F.lit(0)), F.get(found, F.lit(1))
     close = F.coalesce((best["gap"] > 0) & (next_["gap"] < AMBIGUOUS * best["gap"]), F.lit(False)) & reference.isNotNull()
     return F.struct(F.date_format(best["t"], "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), (F.coalesce(F.year(best["t"]) != F.year(ref), F.lit(False)) & reference.isNotNull()).alias("wrapped"), close.alias("ambiguous"))
@@ -33,15 +39,22 @@ def nearest_year(mon: Column, day: Column, hms: Column, reference: Column) -> Co
 
 def parse_bsd(line: Column, reference: Column) -> Column:
     """stamp, host, ident, pid, message, wrapped, ambiguous of an RFC 3164 line, null for others."""
-    g = lambda i: F.regexp_extract(line, "(?d)" + BSD, i)
-    y = nearest_year(g(1), g(2), g(3), reference)
-    return F.when(line.rlike("(?d)" + BSD), F.struct(y["stamp"].alias("stamp"), g(4).alias("host"), g(5).alias("ident"), g(6).alias("pid"), g(7).alias("message"), y["wrapped"].alias("wrapped"), y["ambiguous"].alias("ambiguous")))
+
+    def record(g: Column) -> Column:
+        return once(nearest_year(g[0], g[1], g[2], reference), lambda y: F.struct(y["stamp"].alias("stamp"), g[3].alias("host"), g[4].alias("ident"), g[5].alias("pid"), g[6].alias("message"), y["wrapped"].alias("wrapped"), y["ambiguous"].alias("ambiguous")))
+
+    return _groups(line, BSD, range(1, 8), record)
 
 
 def parse_rfc5424(line: Column) -> Column:
     """stamp (as written), host, ident, pid, message of an RFC 5424 line, null for others."""
-    g = lambda i: F.regexp_extract(line, "(?d)" + RFC5424, i)
-    return F.when(line.rlike("(?d)" + RFC5424), F.struct(g(3).alias("stamp"), g(4).alias("host"), g(5).alias("ident"), g(6).alias("pid"), g(9).alias("message"), F.lit(False).alias("wrapped"), F.lit(False).alias("ambiguous")))
+    return _groups(line, RFC5424, (3, 4, 5, 6, 9), lambda g: F.struct(g[0].alias("stamp"), g[1].alias("host"), g[2].alias("ident"), g[3].alias("pid"), g[4].alias("message"), F.lit(False).alias("wrapped"), F.lit(False).alias("ambiguous")))
+
+
+def _groups(line: Column, pattern: str, numbers, f) -> Column:
+    """f(array of the groups) of a line that matches, else null; each group is extracted once."""
+    p = "(?d)" + pattern
+    return once(line, lambda x: F.when(x.rlike(p), once(F.array(*[F.regexp_extract(x, p, i) for i in numbers]), f)))
 
 
 def join_continuations(lines: DataFrame, is_start: Column, file: str = "file") -> tuple[DataFrame, DataFrame]:
