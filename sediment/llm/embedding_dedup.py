@@ -194,7 +194,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     unit = tmp.save(rows.mapInArrow(_normalised, "vec_id long, label string, dim int, unit binary").distinct(), "unit")
     classes = tmp.save(unit.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     found = None
-    dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").limit(1000).collect()]
+    dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").collect()]
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for dim in dims:
         cls = classes.filter(F.col("dim") == dim)
