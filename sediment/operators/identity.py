@@ -98,3 +98,11 @@ def evidence(r: dict, partial: bool = False) -> str:
     where = f"over a median of {own * 1440:,.0f} minutes ({own / span:.1%} of the timeline)" if own is not None and span else "without a usable clock"
     tail = {"session": ", a burst", "entity": ", a long-lived thread", "bucket": ": a category, not a thing", "noise": ": prose or unique values"}[r["verdict"]]
     return f"{r['mean_size']:,.1f} events per key {where}{tail}"
+
+
+def claims(measured: DataFrame, claimed: DataFrame) -> DataFrame:
+    """claimed, verdict, holds of each claimed(claimed) key: its fields joined by +, in any order, against measure()'s rows."""
+    fields = lambda c: F.array_sort(F.split(c, "[+]"))
+    m = measured.select(fields("candidate").alias("of"), "verdict")
+    out = claimed.select("claimed", fields("claimed").alias("fields")).join(m, F.col("fields") == F.col("of"), "left")
+    return out.select("claimed", "verdict", F.coalesce(F.col("verdict").isin("session", "entity"), F.lit(False)).alias("holds"))

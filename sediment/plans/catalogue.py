@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators import identity, profile, project, shapes
+from ..operators import conformance, identity, profile, project, shapes
 from ..operators.cells import cells
 from ..operators.clock import rank_clocks
+from ..operators.validate import Measurement, validate
 from ..sources import syslog
+from ..sources.detect import sniff_syslog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -181,17 +183,29 @@ def identity_session(spark, sf_dir):
     return _identity(table(spark, sf_dir, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH")), [("hour",)], "ts")
 
 
-@query(None)
+_FIRST_SQL = _identity_sql("(SELECT * FROM events ORDER BY event_id LIMIT 1000)", {k: f"CAST({k} AS VARCHAR)" for k in _EVENT_KEYS}, "ts").replace("> 0.95 THEN 'noise'", "> 0.95 THEN 'undetermined'")
+
+
+@query(f"SELECT candidate, groups, verdict FROM ({_FIRST_SQL})")
 def identity_partial(spark, sf_dir):
     """T7 and rule 4: with a scan that hit its limit, keys seen once are undetermined"""
     first = table(spark, sf_dir, "events").orderBy("event_id").limit(1000)
     return identity.measure(first, _singles(_EVENT_KEYS), F.unix_micros("ts"), partial=True).select("candidate", "groups", "verdict")
 
 
-@query(None)
+_TEXT_FIELDS = ("c_name", "c_mktsegment")
+_RANK_SQL = " UNION ALL ".join(f"SELECT c_custkey AS pos, '{f}' AS field, {f} AS sval FROM customer" for f in _TEXT_FIELDS)
+
+
+@query(f"""WITH v AS (SELECT * FROM ({_RANK_SQL}) WHERE sval <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY pos) <= 400),
+s AS (SELECT field, count(DISTINCT sval) AS "distinct", count(*) AS n FROM v GROUP BY field),
+w AS (SELECT field, word, count(*) AS k FROM (SELECT field, unnest(string_split_regex(lower(sval), '[^a-z0-9]+')) AS word FROM v) WHERE word <> '' GROUP BY ALL),
+c AS (SELECT field, "distinct", round(sum(if(k > 1, k, 0)) / sum(k), 6) AS reuse, round(sum(k) / any_value(n), 6) AS mean_words FROM w JOIN s USING (field) GROUP BY field, "distinct")
+SELECT *, row_number() OVER (ORDER BY "distinct" <= 16, -reuse * mean_words, field) AS rank FROM c""")
 def content_rank(spark, sf_dir):
     """A15, PF5, T4"""
-    return profile.content_rank(cells(table(spark, sf_dir, "customer"), "c_custkey"))
+    r = profile.content_rank(cells(table(spark, sf_dir, "customer"), "c_custkey"))
+    return r.select("field", "distinct", *r6("reuse", "mean_words"), "rank")
 
 
 _LINES = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"""
@@ -344,3 +358,109 @@ def continuation_lines(spark, sf_dir):
     b = bad.groupBy("file").agg(F.count("*").alias("b"))
     all_ = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"))
     return all_.join(a, "file", "left").join(b, "file", "left").select(F.col("file").alias("doc_id"), (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("lines"))
+
+
+_ITEM_KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
+_ITEM_SQL = _identity_sql("lineitem", {k: f"CAST({k} AS VARCHAR)" for k in _ITEM_KEYS} | {"l_orderkey+l_suppkey": "l_orderkey || '+' || l_suppkey"}, "l_shipdate")
+#: Keys a schema may claim: a field, a pair in the other order, a field that isn't measured.
+CLAIMS = ["l_orderkey", "l_suppkey+l_orderkey", "l_suppkey", "l_orderkey+l_comment"]
+
+
+@query(_identity_sql("lineitem", {k: f"CAST({k} AS VARCHAR)" for k in _ITEM_KEYS}, "l_shipdate"))
+def identity_singles_lineitem(spark, sf_dir):
+    return _identity(table(spark, sf_dir, "lineitem"), _singles(_ITEM_KEYS), "l_shipdate")
+
+
+@query(f"""WITH q AS ({_ITEM_SQL}), c AS (SELECT unnest({CLAIMS}) AS claimed)
+SELECT claimed, verdict, coalesce(verdict IN ('session', 'entity'), false) AS holds FROM c LEFT JOIN q ON list_sort(string_split(claimed, '+')) = list_sort(string_split(candidate, '+'))""")
+def identity_claim_match(spark, sf_dir):
+    """J3, V3"""
+    m = identity.measure(table(spark, sf_dir, "lineitem"), [*_singles(_ITEM_KEYS), ("l_orderkey", "l_suppkey")], F.unix_micros("l_shipdate"))
+    return identity.claims(m, spark.createDataFrame([(c,) for c in CLAIMS], "claimed string"))
+
+
+@query(f"""WITH {_OWN}, r AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN p_name END AS content FROM part)
+SELECT p_partkey, CASE WHEN content <> '' THEN name ELSE 'silent' END AS class FROM r LEFT JOIN o ON content = shape""")
+def empty_class(spark, sf_dir):
+    """V5, A16: names of a third of the parts left empty and of a third left null are the empty class's"""
+    m = _part_matches(spark, sf_dir)[1]
+    third = F.col("p_size") % 3
+    r = table(spark, sf_dir, "part").select("p_partkey", F.when(third == 0, "").when(third == 1, F.col("p_name")).alias("content"))
+    return shapes.classify(r, "content", shapes.owners(m), "silent").select("p_partkey", "class")
+
+
+@query("""WITH e AS (SELECT event_id, ts + to_days(CAST(user_id % 366 AS INTEGER)) AS t FROM events),
+c AS (SELECT event_id, try_strptime(y || strftime(t, '-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS t FROM e, range(2023, 2026) AS r(y)),
+g AS (SELECT *, abs(epoch_us(t) - epoch_us(TIMESTAMP '2024-02-01 00:00:00')) AS gap FROM c WHERE t IS NOT NULL),
+o AS (SELECT *, lead(gap) OVER w AS following, row_number() OVER w AS at_ FROM g WINDOW w AS (PARTITION BY event_id ORDER BY gap, t))
+SELECT event_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS stamp, year(t) <> 2024 AS wrapped, coalesce(gap > 0 AND following < 1.5 * gap, false) AS ambiguous FROM o WHERE at_ = 1""")
+def syslog_year(spark, sf_dir):
+    """SRC16: stamps over a year, against one reference time"""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.make_dt_interval((F.col("user_id") % 366).cast("int"))).alias("t"))
+    y = syslog.nearest_year(F.date_format("t", "MMM"), F.date_format("t", "d"), F.date_format("t", "HH:mm:ss"), F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    return e.select("event_id", y.alias("y")).select("event_id", "y.stamp", "y.wrapped", "y.ambiguous")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+s AS (SELECT *, sum(if(pos = 0 OR regexp_matches(line, '^[A-Z]'), 1, 0)) OVER (PARTITION BY doc_id ORDER BY pos) AS rec FROM l WHERE trim(line) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rec ORDER BY pos) - 1 AS k FROM s)
+SELECT doc_id, min(pos) AS pos, count(*) - 1 AS joined, md5(string_agg(if(k > 0, regexp_replace(line, '^\\s+|\\s+$', '', 'g'), line), chr(10) ORDER BY pos)) AS digest FROM n WHERE rec > 0 AND k <= 200 GROUP BY doc_id, rec""")
+def continuation_join(spark, sf_dir):
+    """SRC14, J8, W5: lines that don't begin with a capital letter join the record before"""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rec, _ = syslog.join_continuations(d, (F.col("pos") == 0) | F.col("line").rlike("^[A-Z]"))
+    return rec.select(F.col("file").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.col("joined").cast("long").alias("joined"), F.md5("line").alias("digest"))
+
+
+_BSD_LINE, _5424_LINE = "Oct  3 03:27:45 mx1 postfix/smtpd[17810]: connect", "<134>1 2026-09-27T03:27:45Z h app 1 - - said"
+_HEADS = {"bsd": [_BSD_LINE] * 5, "rfc5424": [_5424_LINE] * 5, "both": [_BSD_LINE, _5424_LINE] * 3, "short": [_BSD_LINE], "prose": ["hello there", "world"], "half": ["a note", _BSD_LINE, "another"], "late": ["a note", "two", _BSD_LINE], "trace": [_BSD_LINE, "  at line 1", "  at line 2", _BSD_LINE, _BSD_LINE]}
+
+
+@query("SELECT * FROM (VALUES ('bsd','bsd'),('rfc5424','rfc5424'),('both',NULL),('short','bsd'),('prose',NULL),('half',NULL),('late',NULL),('trace','bsd')) AS t(head, dialect)")
+def sniff_dialect(spark, sf_dir):
+    """SRC10, SRC11"""
+    return spark.createDataFrame([(k, sniff_syslog("\n".join(x))) for k, x in _HEADS.items()], "head string, dialect string")
+
+
+#: A mail log whose verdicts follow from how it is made, and a schema that is true of it.
+_KINDS = ["connect from <HOST>", "disconnect from <HOST>", "queue active size 12", "message accepted 250"]
+MAIL_SCHEMA = {
+    "identity_key": "pid",
+    "time_field": "stamp",
+    "record_layers": {"envelope": [{"path": "stamp", "role": "context"}, {"path": "pid", "role": "identity"}, {"path": "svc", "role": "context"}], "payload": [{"path": "tok", "role": "content"}]},
+    "classes": [{"name": "connect", "template": "connect from <HOST>", "retention": "keep"}, {"name": "disconnect", "template": "disconnect from <HOST>", "retention": "drop"}, {"name": "queue", "template": "queue active size <N>", "retention": "demote"}, {"name": "accepted", "template": "message accepted", "retention": "keep-extended"}],
+}
+
+
+def mail(spark: SparkSession) -> DataFrame:
+    """40 sessions of 40 lines, two seconds apart."""
+    session, line = F.floor(F.col("id") / 40), F.col("id") % 40
+    return spark.range(1600).select(
+        F.col("id").alias("pos"),
+        F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + 2 * F.col("id")), "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"),
+        F.when(session % 4 == 0, "qmgr").otherwise("smtpd").alias("svc"),
+        (1000 + session).alias("pid"),
+        F.concat(F.lit("<HEX"), line % 3, F.lit(">")).alias("q"),
+        F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (line % 4 + 1).cast("int")).alias("tok"),
+        F.lit("maillog").alias("file"),
+    )
+
+
+@query("SELECT unnest(['fields_present', 'declared_fields_unmasked', 'identity_key', 'message_key', 'classes_resolve', 'every_record_classed', 'clock_resolvable', 'deterministic']) AS predicate, true AS passed")
+def validate_predicates(spark, sf_dir):
+    """V1 to V8 on a schema that is true by construction"""
+    m = Measurement(mail(spark))
+    rows = [(r.name, r.passed) for r in validate(MAIL_SCHEMA, m).results]
+    m.close()
+    return spark.createDataFrame(rows, "predicate string, passed boolean")
+
+
+@query("""SELECT *, 'rejected-as-required' AS outcome FROM (VALUES ('field-does-not-exist','fields_present'),('identity-key-is-a-bucket','identity_key'),('class-matches-nothing','classes_resolve'),('clock-is-not-a-clock','clock_resolvable'),
+('message-pattern-matches-nothing','message_key'),('retention-is-unknown','classes_resolve'),('identity-key-is-masked','declared_fields_unmasked'),('no-identity-key','identity_key')) AS t(fixture, target)""")
+def conformance_matrix(spark, sf_dir):
+    """N1 to N8, PF8, PF9, J6, J7: each schema that is wrong in one way is rejected for it"""
+    m = Measurement(mail(spark))
+    made = conformance.fixtures(MAIL_SCHEMA, conformance.measure_facts(MAIL_SCHEMA, m, "stamp"))
+    rows = [(f["name"], f["target"], conformance.judge(f["schema"], f["target"], f["says"], m, None)) for f in made]
+    m.close()
+    return spark.createDataFrame(rows, "fixture string, target string, outcome string")
