@@ -29,6 +29,22 @@ MASKS = (
     r"\b[0-9]+(?:[.:,][0-9]+)*\b",
     r"\s+",
 )
+# Letters, digits and white space of any script, as a class holds them, and the edge of a word.
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x1c-\x1f\x85\p{Z}"
+_EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+# MASKS for text of any script.
+ANY_MASKS = (
+    r"\[I:[^\]]*\](?::\p{Nd}+)?",
+    r"\[(\p{Nd}{1,3}\.){3}\p{Nd}{1,3}\](?::\p{Nd}+)?",
+    r"\[(?:[A-Z]{3,12}|[\p{Nd}.]+)\]",
+    rf"{_EDGE}Q:[0-9A-Za-z]+:",
+    rf"<[^<>{_SPACE}]{{1,40}}>",
+    rf"{_EDGE}[{_WORD}.+-]+@[{_WORD}.-]+\.[{_WORD}]+{_EDGE}",
+    rf"{_EDGE}(\p{{Nd}}{{1,3}}\.){{3}}\p{{Nd}}{{1,3}}{_EDGE}",
+    rf"{_EDGE}[0-9a-fA-F]{{8,}}{_EDGE}",
+    rf"{_EDGE}\p{{Nd}}+(?:[.:,]\p{{Nd}}+)*{_EDGE}",
+    rf"[{_SPACE}]+",
+)
 # Words that prose has and templates lack.
 FUNCTION_WORDS = (
     "the a an and or but of in on at to for with by from is are was were be been it its this that these those as into about"
@@ -55,11 +71,11 @@ def is_placeholder(c: Column) -> Column:
 
 
 def skeleton(c: Column) -> Column:
-    """The literal wording of a line, null where it is blank, too long, or prose."""
-    s = stripped(c)
+    """The literal wording of a line of any script, null where it is blank, too long, or prose."""
+    s = F.regexp_replace(c, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
     usable = (s != "") & (F.length(s) <= 4 * SHAPE_CHARS)
     out = s
-    for m in MASKS:
+    for m in ANY_MASKS:
         out = F.regexp_replace(out, m, " ")
     out = F.regexp_replace(F.regexp_replace(out, "[^A-Za-z0-9 ]+", " "), r"\s+", " ")
     out = F.trim(out)

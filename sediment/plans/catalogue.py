@@ -223,21 +223,22 @@ m AS (SELECT line, s, {_mask_sql('s')} AS w FROM l),
 k AS (SELECT line, CASE WHEN s <> '' AND length(s) <= 480 AND w <> '' AND len(string_split(w, ' ')) <= 14 AND len(list_filter(string_split(w, ' '), lambda x: list_contains({_WORDS_SQL}, lower(x)))) < 2 THEN substr(w, 1, 120) END AS shape FROM m)"""
 
 
-def _ascii_lines(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike("^[ -~]*$"))
+def _all_lines(spark, sf_dir) -> DataFrame:
+    """Every line of every document; the SQL of the two queries reads only those of printable ASCII."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
 @query(f"WITH {_SKELETON_SQL} SELECT shape, count(*) AS n FROM k WHERE line <> '' GROUP BY shape")
 def shape_counts(spark, sf_dir):
     """F10, F11, A14, T5"""
-    return shapes.shape_counts(_ascii_lines(spark, sf_dir), "line")
+    return shapes.shape_counts(_all_lines(spark, sf_dir), "line")
 
 
 @query(f"WITH {_SKELETON_SQL} SELECT count(*) AS lines, count(*) FILTER (shape IS NULL AND line <> '') AS untemplatable, count(*) FILTER (line = '') AS empty, count(DISTINCT shape) AS shapes FROM k")
 def untemplatable_share(spark, sf_dir):
     line = F.col("line")
     shape = F.when(S.non_empty(line), S.skeleton(line))
-    x = _ascii_lines(spark, sf_dir).select("line", shape.alias("shape"))
+    x = _all_lines(spark, sf_dir).select("line", shape.alias("shape"))
     return x.agg(F.count("*").alias("lines"), F.count_if(F.col("shape").isNull() & (line != "")).alias("untemplatable"), F.count_if(line == "").alias("empty"), F.countDistinct("shape").alias("shapes"))
 
 
