@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney model of bigrams or trigrams: counted in Spark, scored from memory-mapped arrays.
 
 Counting passes arrays, not rows: a task reduces its texts to sorted unique
 hashes with counts and sends a block of them to each shard; a shard's task
@@ -9,8 +9,12 @@ word, so its continuations are counted in one place; the few words that make
 up a thousandth of all tokens or more are dealt by both words, their partial
 counts summed. Workers map the files and look up sorted batches of keys.
 
-The order is two: with three, distinct trigrams are four fifths of all tokens
-and their shuffle and model exceed the disk that a run may use (see README).
+With order three a bigram's id is its place in the sorted bigrams of all
+shards, and a trigram is the exact 64-bit key of its first two words' id and
+its third word. It lies in the shard of its first two words. Bigrams then
+count in how many trigrams they are the end; those at a text's start, which
+have no word before, as often as they occur. A text has one start token: its
+first word is scored by the bigram.
 """
 
 from __future__ import annotations
@@ -109,9 +113,11 @@ class Layout:
     documents: int
     hot: np.ndarray  # ids of hot words, ascending
     pair_bits: int
-    discounts: list | None = None  # (D1, D2, D3+) of words' continuations, of bigrams
+    discounts: list | None = None  # (D1, D2, D3+) of words' continuations, of bigrams, of trigrams
     continuations: int = 0
     gamma0: float = 0.0
+    order: int = 2
+    pair_start: np.ndarray | None = None  # first id of each bigram shard, and the number of bigrams
 
     @property
     def words(self) -> int:
@@ -194,6 +200,68 @@ def _pairs(m: Layout, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     return first, second, at
 
 
+def _pair_ids(m: Layout, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Id of each bigram, -1 for unknown ones."""
+    out = np.full(len(first), -1, dtype=np.int64)
+    both = np.flatnonzero((first >= 0) & (second >= 0))
+    key, inverse = np.unique(first[both].astype(np.uint64) << U(32) | second[both].astype(np.uint64), return_inverse=True)
+    shard, arrays = m.shard_of(key), _arrays_of(m.root)
+    order = np.argsort(shard, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange((1 << m.pair_bits) + 1))
+    ids = np.full(len(key), -1, dtype=np.int64)
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        own = order[edge[s] : edge[s + 1]]
+        have = arrays.get("pair", s)
+        if len(have):
+            p = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
+            ids[own] = np.where(have[p] == key[own], p + m.pair_start[s], -1)
+    out[both] = ids[inverse]
+    return out
+
+
+def _by_pair(m: Layout, name: str, pair: np.ndarray) -> np.ndarray:
+    """Values by id of bigram; -1 is 0."""
+    u, inverse = np.unique(pair, return_inverse=True)
+    out, arrays = np.zeros(len(u)), _arrays_of(m.root)
+    edge = np.searchsorted(u, m.pair_start)
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        own = slice(edge[s], edge[s + 1])
+        out[own] = arrays.get(name, s)[u[own] - m.pair_start[s]]
+    return out[inverse]
+
+
+def _before(pair: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bigram before each token, -1 for the first of a row."""
+    out = np.full_like(pair, -1)
+    out[1:] = pair[:-1]
+    out[off[:-1]] = -1
+    return out
+
+
+def _count_triples(m: Layout):
+    def count(batches):
+        held, size = [], 0
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return _block(np.searchsorted(m.pair_start, (key >> U(32)).astype(np.int64), "right") - 1, 0, key, n)
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                first, second, off = _pairs(m, *text_bytes(part.column("text")))
+                context = _before(_pair_ids(m, first, second), off)
+                some = context >= 0
+                held.append(context[some].astype(np.uint64) << U(32) | second[some].astype(np.uint64))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return count
+
+
 def _count_pairs(m: Layout):
     def count(batches):
         held, size = [], 0
@@ -222,8 +290,68 @@ def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n >= 3).sum())]
 
 
+def _row(shard: int, kind: int, *numbers: int):
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([np.array(numbers, "<u8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "kind", "a", "b"])
+
+
+def _to_words(m: Layout, key: np.ndarray, n: np.ndarray):
+    """Blocks to the words' shards: continuations of second words and contexts of first ones."""
+    second, cont = np.unique(key & U(0xFFFFFFFF), return_counts=True)
+    place = np.searchsorted(m.start, second.astype(np.int64), "right") - 1
+    yield _block(place, 1, second.astype("<u4"), cont)
+    first = (key >> U(32)).astype("<u4")
+    cut = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+    v = first[cut]
+    place = np.searchsorted(m.start, v.astype(np.int64), "right") - 1
+    for kind, x in ((10, n), (11, (n == 1).astype(np.uint64)), (12, (n == 2).astype(np.uint64)), (13, (n >= 3).astype(np.uint64))):
+        x = np.add.reduceat(x, cut)
+        some = x > 0
+        yield _block(place[some], kind, v[some], x[some])
+
+
+def _merge_triples(m: Layout):
+    """Writes a shard's trigrams; sends, to the shards of their last two words, how many end in them."""
+
+    def merge(batches):
+        for t in runs(batches, ["shard"]):
+            s = t["shard"][0].as_py()
+            key, n = _sum_by(_joined(t, "a", "<u8"), _joined(t, "b", "<u4").astype(np.uint64))
+            _save(f"{m.root}/triple-{s}.npy", key)
+            _save(f"{m.root}/triples-{s}.npy", _small(n))
+            yield _row(-1, 0, *_of_counts(n))
+            for i in range(0, len(key), FLUSH):
+                part = key[i : i + FLUSH]
+                middle = _arrays_of(m.root).get("pair", s)[(part >> U(32)).astype(np.int64) - m.pair_start[s]] & U(0xFFFFFFFF)
+                pair, cont = np.unique(_pair_ids(m, middle.astype(np.int64), (part & U(0xFFFFFFFF)).astype(np.int64)), return_counts=True)
+                yield _block(np.searchsorted(m.pair_start, pair, "right") - 1, 1, pair.astype("<u8"), cont)
+
+    return merge
+
+
+def _merge_ends(m: Layout, discounts):
+    """Per shard of bigrams: how many trigrams end in each, and its back-off weight as a context; sends bigrams on."""
+
+    def merge(batches):
+        for t in runs(batches, ["shard"]):
+            s = t["shard"][0].as_py()
+            arrays, lo = _arrays_of(m.root), int(m.pair_start[s])
+            key = np.array(arrays.get("pair", s))
+            part = t.filter(pa.array(t["kind"].to_numpy() == 1))
+            ends = np.bincount(_joined(part, "a", "<u8").astype(np.int64) - lo, _joined(part, "b", "<u4"), len(key)).astype(np.uint64)
+            ends = np.where(key >> U(32) == U(m.words + 1), arrays.get("times", s), ends).astype(np.uint64)
+            _save(f"{m.root}/ends-{s}.npy", _small(ends))
+            context = (arrays.get("triple", s) >> U(32)).astype(np.int64) - lo
+            n = np.array(arrays.get("triples", s), dtype=np.int64)
+            gamma = np.bincount(context, n - _less(n, discounts), len(key)) / np.maximum(np.bincount(context, n, len(key)), 1)
+            _save(f"{m.root}/pairgamma-{s}.npy", gamma)
+            yield _row(-1, 0, *_of_counts(ends))
+            yield from _to_words(m, key, ends)
+
+    return merge
+
+
 def _merge_pairs(m: Layout):
-    """Writes a shard's bigrams; sends, to the words' shards, continuations of second words and contexts of first ones."""
+    """Writes a shard's bigrams; sends them on with order two, and else their number."""
 
     def merge(batches):
         for t in runs(batches, ["shard"]):
@@ -231,18 +359,12 @@ def _merge_pairs(m: Layout):
             key, n = _sum_by(_joined(t, "a", "<u8"), _joined(t, "b", "<u4").astype(np.uint64))
             _save(f"{m.root}/pair-{s}.npy", key)
             _save(f"{m.root}/times-{s}.npy", _small(n))
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([np.array(_of_counts(n), "<u8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "kind", "a", "b"])
-            second, cont = np.unique(key & U(0xFFFFFFFF), return_counts=True)
-            place = np.searchsorted(m.start, second.astype(np.int64), "right") - 1
-            yield _block(place, 1, second.astype("<u4"), cont)
-            first = (key >> U(32)).astype("<u4")
-            cut = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-            v = first[cut]
-            place = np.searchsorted(m.start, v.astype(np.int64), "right") - 1
-            for kind, x in ((10, n), (11, (n == 1).astype(np.uint64)), (12, (n == 2).astype(np.uint64)), (13, (n >= 3).astype(np.uint64))):
-                x = np.add.reduceat(x, cut)
-                some = x > 0
-                yield _block(place[some], kind, v[some], x[some])
+            yield _row(-1, 0, *_of_counts(n))
+            yield _row(-2 - s, 0, len(key))
+            if m.order == 2:
+                yield from _to_words(m, key, n)
+            else:
+                yield _row(s, 0, len(key))
 
     return merge
 
@@ -286,8 +408,18 @@ def _less(n: np.ndarray, d) -> np.ndarray:
     return n - np.choose(np.clip(n, 0, 3).astype(int), (0.0, *d))
 
 
-def train(documents: DataFrame, tmp: Scratch) -> Layout:
-    """Count documents(text, ...) and write the model's arrays to the scratch folder."""
+def _added(rows: DataFrame) -> list[int]:
+    """Counts of counts of all shards, 1 to 4."""
+    of = np.zeros(5, dtype=np.int64)
+    for r in rows.filter("shard = -1").select("a").collect():
+        of += np.frombuffer(r.a, "<u8").astype(np.int64)
+    return of[:4].tolist()
+
+
+def train(documents: DataFrame, tmp: Scratch, order: int = 2) -> Layout:
+    """Count documents(text, ...) and write the model's arrays, of order two or three, to the scratch folder."""
+    if order not in (2, 3):
+        raise ValueError("order is two or three")
     spark = documents.sparkSession
     docs = documents.select(F.col("text").cast("string").alias("text"))
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -305,23 +437,48 @@ def train(documents: DataFrame, tmp: Scratch) -> Layout:
     hot = sorted(int(start[s]) + x["at"] for s, r in got.items() for x in r.hot if x["n"] * HOT >= tokens)
     if int(start[-1]) >= 1 << 32:
         raise ValueError("more than 2**32 words: ids no longer fit half a key")
-    m = Layout(root, bits, start, tokens, n_docs, np.array([*hot, int(start[-1]), int(start[-1]) + 1], dtype=np.int64), bits + 1)
+    m = Layout(root, bits, start, tokens, n_docs, np.array([*hot, int(start[-1]), int(start[-1]) + 1], dtype=np.int64), bits + 1, order=order)
     pairs = dealt(docs.mapInArrow(_count_pairs(m), _BLOCK)).mapInArrow(_merge_pairs(m), _BLOCK)
     pairs = tmp.save(pairs, "pairs")
-    of = np.zeros(5, dtype=np.int64)
-    for r in pairs.filter("shard < 0").select("a").collect():
-        of += np.frombuffer(r.a, "<u8").astype(np.int64)
-    of_pairs = discounts(*of[:4].tolist())
+    sizes = {-2 - r.shard: int(np.frombuffer(r.a, "<u8")[0]) for r in pairs.filter("shard < -1").collect()}
+    m.pair_start = np.r_[0, np.cumsum([sizes.get(k, 0) for k in range(1 << m.pair_bits)])].astype(np.int64)
+    of_triples = []
+    if order == 3:
+        if int(m.pair_start[-1]) >= 1 << 32:
+            raise ValueError("more than 2**32 bigrams: ids no longer fit half a key")
+        triples = tmp.save(dealt(docs.mapInArrow(_count_triples(m), _BLOCK)).mapInArrow(_merge_triples(m), _BLOCK), "triples")
+        of_triples = [discounts(*_added(triples))]
+        ends = dealt(pairs.filter("shard >= 0").unionByName(triples.filter("shard >= 0"))).mapInArrow(_merge_ends(m, of_triples[0]), _BLOCK)
+        pairs = tmp.save(ends, "ends")
+        tmp.drop("pairs", "triples")
+    of_pairs = discounts(*_added(pairs))
     ids = dealt(pairs.filter("shard >= 0")).mapInArrow(_merge_ids(m, of_pairs), "of array<bigint>, cont long")
     rows = ids.collect()
-    tmp.drop("pairs")
+    tmp.drop("ends" if order == 3 else "pairs")
     of = np.sum([r.of for r in rows], axis=0) if rows else np.zeros(5, dtype=np.int64)
     of_words = discounts(*of[:4].tolist())
-    m.discounts, m.continuations = [of_words, of_pairs], sum(r.cont for r in rows)
+    m.discounts, m.continuations = [of_words, of_pairs, *of_triples], sum(r.cont for r in rows)
     m.gamma0 = float(of_words[0] * of[0] + of_words[1] * of[1] + of_words[2] * of[4]) / m.continuations if m.continuations else 1.0
     return m
 
 
+def _triple_times(m: Layout, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How often each trigram occurs in training; context is a known bigram."""
+    out, arrays = np.zeros(len(context)), _arrays_of(m.root)
+    known = np.flatnonzero(last >= 0)
+    key, inverse = np.unique(context[known].astype(np.uint64) << U(32) | last[known].astype(np.uint64), return_inverse=True)
+    edge = np.searchsorted((key >> U(32)).astype(np.int64), m.pair_start)
+    n = np.zeros(len(key))
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        own = slice(edge[s], edge[s + 1])
+        have = arrays.get("triple", s)
+        if len(have):
+            p = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
+            n[own] = np.where(have[p] == key[own], arrays.get("triples", s)[p], 0)
+    out[known] = n[inverse]
+    return out
+
+
 def _score(m: Layout):
     def score(batches):
         arrays = _arrays_of(m.root)
@@ -346,21 +503,14 @@ def _score(m: Layout):
                 total = _gather(m, "total", u, rest["total"])
                 gamma = np.where(total > 0, _gather(m, "gamma", u, rest["gamma"]), 1.0)[at]
                 total = np.maximum(total, 1)[at]
-                times = np.zeros(len(first))
-                both = np.flatnonzero((first >= 0) & (second >= 0))
-                key, inverse = np.unique(first[both].astype(np.uint64) << U(32) | second[both].astype(np.uint64), return_inverse=True)
-                shard = m.shard_of(key)
-                order = np.argsort(shard, kind="stable")
-                edge = np.searchsorted(shard[order], np.arange((1 << m.pair_bits) + 1))
-                n = np.zeros(len(key))
-                for s in np.flatnonzero(np.diff(edge)).tolist():
-                    own = order[edge[s] : edge[s + 1]]
-                    have = arrays.get("pair", s)
-                    if len(have):
-                        p = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
-                        n[own] = np.where(have[p] == key[own], arrays.get("times", s)[p], 0)
-                times[both] = n[inverse]
-                model = np.log10(_less(times, m.discounts[1]) / total + gamma * low)
+                pair = _pair_ids(m, first, second)
+                p = _less(_by_pair(m, "times" if m.order == 2 else "ends", pair), m.discounts[1]) / total + gamma * low
+                if m.order == 3:
+                    context = _before(pair, off)
+                    at = np.flatnonzero(context >= 0)
+                    times = _triple_times(m, context[at], second[at])
+                    p[at] = _less(times, m.discounts[2]) / _by_pair(m, "times", context[at]) + _by_pair(m, "pairgamma", context[at]) * p[at]
+                model = np.log10(p)
                 sums = [np.add.reduceat(x, off[:-1]) for x in (base, model, known.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(off)), pa.array(sums[2]), pa.array(np.full(part.num_rows, m.tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -373,8 +523,8 @@ def score(documents: DataFrame, m: Layout, held_out: Column) -> DataFrame:
     return docs.mapInArrow(_score(m), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
-    """Train on the rows where held_out is false or null, then score all rows.
+def score_documents(documents: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
+    """Train a model of order two or three on the rows where held_out is false or null, then score all rows.
 
     Null and empty texts are the end token alone. Words are runs of bytes
     other than ASCII white space, A-Z lower-cased. Whole texts are counted and
@@ -383,4 +533,4 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     unknown. An empty table gives no rows. Other columns are not read.
     """
     tmp = Scratch(documents.sparkSession, "ngrams")
-    return score(documents, train(documents.filter(~F.coalesce(held_out, F.lit(False))), tmp), held_out)
+    return score(documents, train(documents.filter(~F.coalesce(held_out, F.lit(False))), tmp, order), held_out)

@@ -38,7 +38,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"), _fold() == 1)
+    return score_documents(_table(spark, sf_dir, "documents"), _fold() == 1, order=3)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
