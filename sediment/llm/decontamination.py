@@ -6,10 +6,16 @@ Between an item and a document, the longest common runs are marked as tiles,
 longest first and without overlap, found by running Karp-Rabin windows whose
 length halves down to five. An item whose words are covered to the threshold
 is contained, in whatever order its parts stand.
+
+Every match is ranked: equal windows are taken a bounded number at a time and
+only runs that can't be prolonged to the left are kept. A run that an earlier
+tile has cut goes back into the queue with what is left of it, so the order is
+that of a search for the longest free match before every tile.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -23,7 +29,7 @@ SEED, COVERAGE, BLOCK_CHARS = 5, 0.75, 16_000_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _K = np.uint64(0xD1342543DE82EF95)
-_PAIRS = 2_000_000
+_PAIRS = 2_000_000  # held at once; the rest follows
 
 
 def words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +52,36 @@ def _windows(x: np.ndarray, free: np.ndarray, width: int) -> tuple[np.ndarray, n
     return at, (p[at + width] - p[at]) * pw[len(x) - 1 - at]
 
 
-def _run_length(a, b, free_a, free_b, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
-    """How far matches that start at (i, j) and hold for width words go on, all free."""
-    n = np.full(len(i), width)
-    live = np.arange(len(i))
-    while len(live):
-        x, y = i[live] + n[live], j[live] + n[live]
-        ok = (x < len(a)) & (y < len(b))
-        live, x, y = live[ok], x[ok], y[ok]
-        ok = (a[x] == b[y]) & free_a[x] & free_b[y]
-        live = live[ok]
-        n[live] += 1
-    return n
+def _runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, width: int):
+    """Queue entries (-length, start in a, start in b) of all free common runs of `width` words or more, as long as they go."""
+    size = max(len(a), len(b))
+    ia, ha = _windows(np.r_[a, np.zeros(size - len(a), np.uint64)], np.r_[free_a, np.zeros(size - len(a), bool)], width)
+    ib, hb = _windows(np.r_[b, np.zeros(size - len(b), np.uint64)], np.r_[free_b, np.zeros(size - len(b), bool)], width)
+    order = np.argsort(hb, kind="stable")
+    lo, hi = np.searchsorted(hb[order], ha), np.searchsorted(hb[order], ha, "right")
+    some = np.flatnonzero(hi > lo)
+    upto = np.cumsum((hi - lo)[some])
+    out, k = [], 0
+    while k < len(some):
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _PAIRS, "right")))
+        part = some[k:end]
+        n = (hi - lo)[part]
+        i, j = np.repeat(ia[part], n), ib[order[ragged(lo[part], n)]]
+        k = end
+        inner = (i > 0) & (j > 0)
+        inner[inner] = (a[i[inner] - 1] == b[j[inner] - 1]) & free_a[i[inner] - 1] & free_b[j[inner] - 1]
+        i, j = i[~inner], j[~inner]
+        length = np.zeros(len(i), np.int64)
+        live = np.arange(len(i))
+        while len(live):
+            x, y = i[live] + length[live], j[live] + length[live]
+            ok = (x < len(a)) & (y < len(b))
+            ok[ok] = (a[x[ok]] == b[y[ok]]) & free_a[x[ok]] & free_b[y[ok]]
+            live = live[ok]
+            length[live] += 1
+        real = length >= width  # equal hashes of unequal windows end here
+        out += zip((-length[real]).tolist(), i[real].tolist(), j[real].tolist())
+    return out
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -66,32 +90,24 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
     Longer tiles come first; of equal ones, the leftmost in a, then in b.
     """
     free_a, free_b, out = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool), []
-    width = max(least, min(len(a), len(b)))
+    width, left = max(least, min(len(a), len(b))), len(a)
     while True:
-        size = max(len(a), len(b))
-        ia, ha = _windows(np.r_[a, np.zeros(size - len(a), np.uint64)], np.r_[free_a, np.zeros(size - len(a), bool)], width)
-        ib, hb = _windows(np.r_[b, np.zeros(size - len(b), np.uint64)], np.r_[free_b, np.zeros(size - len(b), bool)], width)
-        order = np.argsort(hb, kind="stable")
-        lo, hi = np.searchsorted(hb[order], ha), np.searchsorted(hb[order], ha, "right")
-        some = np.flatnonzero(hi > lo)
-        if len(some):
-            n = (hi - lo)[some]
-            most = max(1, int(np.searchsorted(np.cumsum(n), _PAIRS, "right")))  # the rest in the next turn
-            some, n = some[:most], n[:most]
-            i, j = np.repeat(ia[some], n), ib[order[ragged(lo[some], n)]]
-            length = _run_length(a, b, free_a, free_b, i, j, width)
-            found = False
-            for k in np.lexsort((j, i, -length)).tolist():
-                x, y, m = int(i[k]), int(j[k]), int(length[k])
-                if free_a[x] and free_a[x + m - 1] and free_b[y] and free_b[y + m - 1] and free_a[x : x + m].all() and free_b[y : y + m].all() and (a[x : x + m] == b[y : y + m]).all():
-                    free_a[x : x + m] = free_b[y : y + m] = False
-                    out.append((x, y, m))
-                    found = True
-                    if not free_a.any():
-                        return out
-            if found:
+        queue = _runs(a, b, free_a, free_b, width)
+        heapq.heapify(queue)
+        while queue and left >= width:
+            n, x, y = heapq.heappop(queue)
+            n = -n
+            free = free_a[x : x + n] & free_b[y : y + n]
+            if free.all():
+                free_a[x : x + n] = free_b[y : y + n] = False
+                out.append((x, y, n))
+                left -= n
                 continue
-        if width <= least:
+            edge = np.flatnonzero(np.diff(np.r_[False, free, False]))  # starts and ends of what is left
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if e - s >= width:
+                    heapq.heappush(queue, (s - e, x + s, y + s))
+        if width <= least or left < least:
             return out
         width = max(least, width // 2)
 
@@ -120,52 +136,66 @@ class Benchmark:
     def find(self, texts, threshold: float) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, words of the item, words covered, tiles) of items covered to the threshold."""
         h, off = words(texts)
-        rows, item, pos, seed_at, span = [], [], [], [], []
+        got, shingles = [], {}
         for w in sorted(self.widths):
-            s = shingle_hashes(h, w)
-            if not len(s):
+            s = shingles[w] = shingle_hashes(h, w)
+            if not len(s) or not len(self.seeds):
                 continue
             near = np.searchsorted(self.seeds, s)
             near[near == len(self.seeds)] = 0
             p = np.flatnonzero(self.seeds[near] == s)
             r = np.searchsorted(off, p, "right") - 1
             p, r = (x[p + w <= off[r + 1]] for x in (p, r))
-            lo, hi = np.searchsorted(self.seeds, s[p]), np.searchsorted(self.seeds, s[p], "right")
-            n = hi - lo
-            k = ragged(lo, n)
-            rows.append(np.repeat(r, n))
-            pos.append(np.repeat(p, n))
-            item.append(self.where[k])
-            seed_at.append(self.at[k])
-            span.append(np.full(len(k), w))
-        if not rows:
-            return []
-        rows, item, pos, seed_at, span = map(np.concatenate, (rows, item, pos, seed_at, span))
-        order = np.lexsort((pos, item, rows))
-        rows, item, pos, seed_at, span = (x[order] for x in (rows, item, pos, seed_at, span))
-        if not len(rows):
-            return []
-        cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (item[1:] != item[:-1]), True])
+            # each seed once a row: what follows is bounded by rows and the index, not by repetitions
+            order = np.lexsort((s[p], r))
+            rows, seed = r[order], s[p[order]]
+            once = np.r_[True, (rows[1:] != rows[:-1]) | (seed[1:] != seed[:-1])][: len(rows)]
+            rows, seed = rows[once], seed[once]
+            lo, hi = np.searchsorted(self.seeds, seed), np.searchsorted(self.seeds, seed, "right")
+            cut = np.searchsorted(rows, np.arange(len(off)))
+            upto = np.r_[0, np.cumsum(hi - lo)]
+            k = 0
+            while k < len(off) - 1:  # whole rows, a bounded number of entries at a time; a single row has no more than the index
+                end = max(k + 1, int(np.searchsorted(upto[cut], upto[cut[k]] + _PAIRS, "right")) - 1)
+                part = slice(cut[k], cut[end])
+                if cut[end] > cut[k]:
+                    got += self._candidates(rows[part], lo[part], hi[part], w, threshold)
+                k = end
         out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            k, w = int(item[a]), int(span[a])
+        for r, k, w in sorted(got):
             own = self.h[self.off[k] : self.off[k + 1]]
-            # tiles lie where seeds are: an item that seeds cover too little is left
-            cover = np.zeros(len(own), dtype=bool)
-            for d in range(w):
-                cover[np.unique(seed_at[a:b]) + d] = True
-            if cover.sum() < threshold * len(own):
-                continue
-            near = np.unique((np.unique(pos[a:b])[:, None] + np.arange(w)).reshape(-1))
+            text = h[off[r] : off[r + 1]]
+            pos = np.flatnonzero(np.isin(shingles[w][off[r] : off[r + 1] - w + 1], shingle_hashes(own, w)))
+            near = np.unique((pos[:, None] + np.arange(w)).reshape(-1))
             gap = np.flatnonzero(np.diff(near) > 1) + 1
             # a word of no other place parts pieces that don't touch in the text
-            there = np.insert(h[near], gap, mix(np.arange(1, len(gap) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
+            there = np.insert(text[near], gap, mix(np.arange(1, len(gap) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
             t = tiles(own, there, w)
             n = sum(x[2] for x in t)
             if n >= threshold * len(own):
-                out.append((int(rows[a]), self.ids[k], len(own), n, len(t)))
+                out.append((r, self.ids[k], len(own), n, len(t)))
         return out
 
+    def _candidates(self, rows, lo, hi, w: int, threshold: float) -> list[tuple[int, int, int]]:
+        """(row, item, w) where seeds cover enough of the item's words; tiles lie where seeds are."""
+        n = hi - lo
+        at = ragged(lo, n)
+        rows, item, pos = np.repeat(rows, n), self.where[at], self.at[at]
+        size = np.diff(self.off)
+        ok = np.minimum(size, SEED)[item] == w
+        rows, item, pos = rows[ok], item[ok], pos[ok]
+        order = np.lexsort((pos, item, rows))
+        rows, item, pos = rows[order], item[order], pos[order]
+        if not len(rows):
+            return []
+        first = np.r_[True, (rows[1:] != rows[:-1]) | (item[1:] != item[:-1])]
+        new = np.full(len(pos), w)
+        new[1:] = np.where(first[1:], w, np.minimum(w, pos[1:] - pos[:-1]))
+        start = np.flatnonzero(first)
+        covered = np.add.reduceat(new, start)
+        good = start[covered >= threshold * size[item[start]]]
+        return [(int(rows[i]), int(item[i]), w) for i in good.tolist()]
+
 
 def _blocks(benchmark: DataFrame):
     """The benchmark in blocks of about BLOCK_CHARS characters, so that none outgrows a worker."""
@@ -221,7 +251,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """documents without rows that hold a benchmark item; all columns and other rows as they are."""
+    """documents without rows that hold a benchmark item; all columns and other rows as they are.
+
+    Null and empty texts and texts without words hold nothing and are kept, as
+    are rows with a null doc_id unless their text holds an item. Repeated rows
+    are judged alike. Whole texts are searched, however long. Columns are
+    passed on whatever their names. Empty tables: of documents, no rows; of
+    the benchmark, all documents.
+    """
     out = documents
     for block in _blocks(benchmark):
         out = out.mapInArrow(_clean(documents.sparkSession.sparkContext.broadcast(block), threshold), documents.schema)
