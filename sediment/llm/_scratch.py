@@ -47,6 +47,11 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def put_file(uri: str, parts) -> int:
     """Write an iterable of bytes to uri in one step: a retried task replaces its own file."""
     fs, path = pafs.FileSystem.from_uri(uri)

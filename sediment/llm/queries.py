@@ -13,7 +13,7 @@ from .embedding_dedup import near_vectors
 from .language_id import predict, train
 from .minhash_dedup import near_duplicates
 from .ngram_lm import score_documents
-from .secret_scan import BASE, MORE, joined, scan
+from .secret_scan import BASE, MORE, joined, scan_into
 from .sentencepiece_codec import encode_documents
 from .token_files import token_files
 from .warc import archive_pages
@@ -78,8 +78,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans through one ledger: the base rules first; then all, which evaluates only what the ledger lacks."""
     docs = _table(spark, sf_dir, "documents")
-    found, _ = scan(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), Scratch(spark, "secrets"))
+    versions, tmp = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), Scratch(spark, "secrets")
+    scan_into(versions, tmp, tmp.path("ledger"), BASE)
+    found, _ = scan_into(versions, tmp, tmp.path("ledger"), BASE + MORE)
     base = F.filter("spans", lambda x: x["kind"].isin(*[r.kind for r in BASE]))
 
     def count(kind: str) -> F.Column:
