@@ -2,14 +2,18 @@
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts `%`
 becomes `%25` and `<|` becomes `<%7C`, so no text can hold a mark, and the way
-back is exact. Costs are counted in words and marks. Prefix sums of costs cut a
+back is exact. Costs are tokens by a rule that needs no vocabulary: up to six
+letters, one digit, or one other character that is no white space are a token,
+and so are a turn's two marks and two new lines. Prefix sums of costs cut a
 conversation into windows of whole turns: with a stride of half of what the
 budget leaves beside the system turn and the history, a turn belongs to the
-stride in which its end falls, and a turn longer than a stride begins a window
-of its own; so a window's own turns stay within the budget unless one turn
-alone exceeds it. Each window repeats the leading system turn and the last
-turns of the window before, up to the history budget. Only assistant turns are
-targets, and only in the window that owns them; repeated ones are masked.
+stride in which its end falls, and a turn longer than a stride has a window of
+its own. Each window repeats the leading system turn, whole, and the last turns
+of the window before, up to the history budget. So a window holds more than the
+budget only if one turn alone does, beside the system turn. If the system turn
+leaves less than a quarter of the budget beside the history, none is repeated.
+Only assistant turns are targets, and only in the window that owns them;
+repeated ones are masked.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+TOKEN, MARKS = r"\p{L}{1,6}|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]", 4
 
 
 def escaped(c: Column) -> Column:
@@ -35,31 +40,35 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 6
     window's own assistant turns. Null text and role are empty; a new line in a
     role is escaped as %0A. Turns stand in order of turn, null first, then of
     role and text; equal rows are all kept. Rows without conv_id are left out.
-    A conversation's turns are numbered in one pass of a window function that
-    holds none of them; windows are put together each by itself.
+    A conversation's turns are numbered in one task, by window functions over
+    sorted rows that spill; windows are put together each by itself, and any
+    text's length is bounded by a row's only. An empty table gives no rows.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("conv_id is not null")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     role, body = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("%0A")), escaped(F.col("text"))
-    cost = (F.size(F.split("text", r"[\x20\x09-\x0D]+")) + 4).cast("long")
-    head = F.when((F.col("at") == 1) & (F.col("role") == "system"), F.col("cost")).otherwise(F.lit(0))
-    t = rows.withColumn("cost", cost).withColumn("at", F.row_number().over(order)).withColumn("system", F.max(head).over(upto))
-    room = F.greatest(F.lit(2).cast("long"), F.floor((F.lit(budget - history) - F.least("system", F.lit(budget // 4))) / 2))
-    t = t.withColumn("stride", room).withColumn("end", F.sum("cost").over(upto))
+    tokens = lambda c: F.regexp_count(c, F.lit(TOKEN))
+    cost = (tokens(F.col("role")) + tokens(F.col("text")) + MARKS).cast("long")
+    is_head = (F.col("at") == 1) & (F.col("role") == "system")
+    t = rows.withColumn("cost", cost).withColumn("at", F.row_number().over(order))
+    t = t.withColumn("system", F.max(F.when(is_head, F.col("cost")).otherwise(0)).over(upto)).withColumn("cost", F.when(is_head, 0).otherwise(F.col("cost")))
+    left = F.lit(budget) - F.col("system")
+    t = t.withColumn("history", F.when(left - history >= budget // 4, history).otherwise(0))
+    t = t.withColumn("stride", F.floor(F.greatest(F.lit(2).cast("long"), left - F.col("history")) / 2)).withColumn("end", F.sum("cost").over(upto))
     t = t.withColumn("long", (F.col("cost") > F.col("stride")).cast("long"))
     t = t.withColumn("longs", F.sum("long").over(upto))
     # a long turn and what follows it differ: twice the number of long turns so far, less one at a long turn
     key = F.struct((2 * F.col("longs") - F.col("long")).alias("a"), F.floor((F.col("end") - 1) / F.col("stride")).alias("b"))
-    new = F.when(F.lag("key").over(order).isNull() | ~F.lag("key").over(order).eqNullSafe(F.col("key")), 1).otherwise(0)
-    t = t.withColumn("key", key).withColumn("new", new).withColumn("window", F.sum("new").over(upto) - 1)
+    same = F.coalesce(F.lag("key").over(order) == F.col("key"), F.lit(False))
+    new = F.when(is_head | same, 0).otherwise(1)  # a leading system turn is in the first window, whatever it costs
+    t = t.withColumn("key", key).withColumn("new", new).withColumn("window", F.greatest(F.sum("new").over(upto) - 1, F.lit(0).cast("long")))
     # what stands from a turn to its window's end: the window's last end less what came before
     of = Window.partitionBy("conv_id", "window")
     t = t.withColumn("tail", F.max("end").over(of) - F.col("end") + F.col("cost"))
     t = t.withColumn("last", F.max("window").over(Window.partitionBy("conv_id")))
-    is_head = (F.col("at") == 1) & (F.col("role") == "system")
     turn = lambda kind, window: F.struct(window.cast("long").alias("window"), F.lit(kind).alias("kind"))
-    again = (F.col("tail") <= history) & (F.col("window") < F.col("last")) & ~is_head
+    again = (F.col("tail") <= F.col("history")) & (F.col("window") < F.col("last")) & ~is_head
     heads = F.when(is_head & (F.col("last") > 0), F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("last"))), lambda w: turn(0, w))).otherwise(F.array().cast("array<struct<window:bigint,kind:int>>"))
     places = F.concat(heads, F.when(again, F.array(turn(1, F.col("window") + 1))).otherwise(F.array().cast("array<struct<window:bigint,kind:int>>")), F.array(turn(2, F.col("window"))))
     t = t.select("conv_id", "at", role.alias("role"), body.alias("body"), F.explode(places).alias("p"))

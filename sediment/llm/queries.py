@@ -65,6 +65,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation -1 is the query's own; rows that a table has under that id are more turns of it."""
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -134,13 +135,14 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM f""",
     "op8_chat_format": """WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
 UNION ALL SELECT -1, i, if(i = 0, 'user', 'assistant'), '<|im_end|><|im_start|>assistant ok' FROM range(2) AS t(i)),
-a AS (SELECT *, len(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) + 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM r),
-b AS (SELECT *, pos = 1 AND role = 'system' AS head, greatest(2, (512 - 64 - least(128, max(if(pos = 1 AND role = 'system', cost, 0)) OVER (PARTITION BY conv_id))) // 2) AS stride, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos) AS e FROM a),
-k AS (SELECT *, 2 * sum((cost > stride)::INT) OVER (PARTITION BY conv_id ORDER BY pos) - (cost > stride)::INT AS k1, (e - 1) // stride AS k2 FROM b),
-n AS (SELECT *, if(lag(k1) OVER o IS NOT DISTINCT FROM k1 AND lag(k2) OVER o IS NOT DISTINCT FROM k2, 0, 1) AS new FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
-w AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS w FROM n),
+a AS (SELECT *, len(regexp_extract_all(role, '\\p{L}{1,6}|\\p{N}|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]')) + len(regexp_extract_all(text, '\\p{L}{1,6}|\\p{N}|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]')) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM r),
+h AS (SELECT *, pos = 1 AND role = 'system' AS head, if(head, 0, tokens) AS cost, 512 - max(if(head, tokens, 0)) OVER (PARTITION BY conv_id) AS rest FROM a),
+b AS (SELECT *, if(rest - 64 >= 128, 64, 0) AS hist, greatest(2, rest - hist) // 2 AS stride, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos) AS e FROM h),
+k AS (SELECT *, 2 * sum((cost > stride)::INT) OVER (PARTITION BY conv_id ORDER BY pos) - (cost > stride)::INT AS k1, if(e = 0, -1, (e - 1) // stride) AS k2 FROM b),
+n AS (SELECT *, if(head OR lag(k1) OVER o IS NOT DISTINCT FROM k1 AND lag(k2) OVER o IS NOT DISTINCT FROM k2, 0, 1) AS new FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+w AS (SELECT *, greatest(sum(new) OVER (PARTITION BY conv_id ORDER BY pos) - 1, 0) AS w FROM n),
 z AS (SELECT *, max(e) OVER (PARTITION BY conv_id, w) - e + cost AS tail, max(w) OVER (PARTITION BY conv_id) AS last FROM w),
-p AS (SELECT *, 24 + length(replace(replace(replace(role, '%', '%25'), '<|', '<%7C'), chr(10), '%0A')) + length(replace(replace(text, '%', '%25'), '<|', '<%7C')) AS size, 1 + if(head, last, 0) + if(tail <= 64 AND w < last AND NOT head, 1, 0) AS times FROM z)
+p AS (SELECT *, 24 + length(replace(replace(replace(role, '%', '%25'), '<|', '<%7C'), chr(10), '%0A')) + length(replace(replace(text, '%', '%25'), '<|', '<%7C')) AS size, 1 + if(head, last, 0) + if(tail <= hist AND w < last AND NOT head, 1, 0) AS times FROM z)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size * times) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id""",
     "op10_secret_scan": _secret_sql(),
