@@ -21,6 +21,7 @@ from ._scratch import Scratch, open_file, put_file
 from ._tokens import pieces
 
 LEAST_PAYLOAD, _READ = 100, 1 << 20
+FEW = 50_000  # most repeated pages that are broadcast, some 100 bytes each
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -36,6 +37,13 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _length(head: bytes) -> int:
+    m = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", head)
+    if m is None:
+        raise ValueError("a record without Content-Length")
+    return int(m[1])
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields, by lower-case name, and the block of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -43,20 +51,25 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return fields, rest[: int(fields["content-length"])]
+    return fields, rest[: _length(head)]
 
 
 def inflate(stream, size: int = _READ):
-    """Pieces of the inflated content of gzip members, one after the other, read once."""
-    d = zlib.decompressobj(31)
+    """Pieces of the inflated content of gzip members, one after the other, read once; a cut member is an error."""
+    d, inside = zlib.decompressobj(31), False
     while data := stream.read(size):
-        while data:
-            out = d.decompress(data)
+        more = True
+        while more:
+            out = d.decompress(data, _READ)
             if out:
                 yield out
-            data = d.unused_data
+            inside = not d.eof
+            data = d.unused_data if d.eof else d.unconsumed_tail
+            more = bool(data) or inside and len(out) == _READ
             if d.eof:
                 d = zlib.decompressobj(31)
+    if inside:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(chunks):
@@ -72,7 +85,7 @@ def records(chunks):
                 return
             held += more
             at = held.find(b"\r\n\r\n")
-        n = int(re.search(rb"(?im)^content-length:\s*(\d+)", held[:at])[1])
+        n = _length(bytes(held[: at + 2]))
         end = at + 4 + n + 4
         while len(held) < end:
             more = next(chunks, None)
@@ -99,7 +112,7 @@ def normalise(stream, level: int, index: list[dict]):
     for raw in records(inflate(stream)):
         member = b"".join(_deflated([raw], level))
         fields, _ = parse(raw)
-        index.append({"offset": at, "length": len(member), "id": fields["warc-record-id"], "type": fields["warc-type"], "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest")})
+        index.append({"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest")})
         at += len(member)
         yield member
 
@@ -122,15 +135,15 @@ def _write(root: str, date: str):
     return write
 
 
-def _normalise(root: str, level: int):
+def _normalise(level: int):
     def run(batches):
         for batch in batches:
-            for part in batch.column("part").to_pylist():
+            for source, target in zip(batch.column("source").to_pylist(), batch.column("target").to_pylist()):
                 index: list[dict] = []
-                with open_file(f"{root}/mono-{part:06d}.warc.gz") as stream:
-                    put_file(f"{root}/part-{part:06d}.warc.gz", normalise(stream, level, index))
-                put_file(f"{root}/part-{part:06d}.idx", (json.dumps(x).encode() + b"\n" for x in index))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "records": pa.array([len(index)], pa.int64())})
+                with open_file(source) as stream:
+                    put_file(f"{target}.warc.gz", normalise(stream, level, index))
+                put_file(f"{target}.idx", (json.dumps(x).encode() + b"\n" for x in index))
+                yield pa.RecordBatch.from_pydict({"target": pa.array([target], pa.string()), "records": pa.array([len(index)], pa.int64())})
 
     return run
 
@@ -145,17 +158,18 @@ def _page(uri: str) -> int:
     return int(uri.rpartition(":")[2].rstrip(">"))
 
 
-def _read(root: str):
+def _read():
     def read(batches):
         for batch in batches:
-            for part in batch.column("part").to_pylist():
-                index = [json.loads(x) for x in open_file(f"{root}/part-{part:06d}.idx").read().splitlines()]
+            for target in batch.column("target").to_pylist():
+                with open_file(f"{target}.idx") as f:
+                    index = [json.loads(x) for x in f.read().splitlines()]
                 rows = []
-                with open_file(f"{root}/part-{part:06d}.warc.gz") as f:
+                with open_file(f"{target}.warc.gz") as f:
                     for x in index:
                         fields, block = read_record(f, x["offset"], x["length"])
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
+                        size = _length(http)
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         kind = fields["warc-type"]
                         if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
@@ -168,40 +182,54 @@ def _read(root: str):
     return read
 
 
-def write_archives(pages: DataFrame, root: str, least: int = LEAST_PAYLOAD, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, tmp: Scratch, root: str, least: int = LEAST_PAYLOAD, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a monolithic archive per partition of pages(page_id, url, html, ...); part and records of each.
 
     Of pages with equal payloads of `least` bytes or more, the one with the
     smallest page_id is a response, the others revisit it. Null html is an
     empty payload, a null url the page's own urn. Rows without page_id are left
-    out; rows with equal page_id and payload get the same kind of record.
+    out; rows with equal page_id and payload get the same kind of record. A
+    payload of any length is one record, which a task holds whole. An empty
+    table gives no archives. Pages are written where they lie if few are
+    repeated, else they are joined with what they repeat by page_id.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).filter("page_id is not null")
     p = p.withColumn("digest", F.sha2("html", 256))
     # Only ids of repeated payloads are joined back, by page: one payload may be any share of all
-    some = p.filter(F.octet_length("html") >= least).select("page_id", "digest")
+    some = tmp.save(p.filter(F.octet_length("html") >= least).select("page_id", "digest"), "digests")
     first = some.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = some.join(first, "digest").filter("page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "first").distinct()
-    p = p.join(again.hint("shuffle_hash"), (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("of")), "left")
+    again = tmp.save(some.join(first, "digest").filter("page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "first").distinct(), "again")
+    if again.limit(FEW + 1).count() <= FEW:
+        again = F.broadcast(again)
+    p = p.join(again, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("of")), "left")
     return p.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to")).mapInArrow(_write(root, date), "part int, records long")
 
 
-def normalise_archives(parts: DataFrame, root: str, level: int = 4) -> DataFrame:
-    """Rewrite the monolithic archives under root with a member per record and an index; part and records of each."""
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("part").repartition(n).mapInArrow(_normalise(root, level), "part int, records long")
+def normalise_archives(archives: DataFrame, level: int = 4) -> DataFrame:
+    """Rewrite archives(source, target) with a member per record and an index; target and records of each.
+
+    source: the path of a gzip archive of WARC records, of one stream or of
+    many; target: the path, without suffix, of <target>.warc.gz and
+    <target>.idx. A task inflates an archive as a stream and holds one record
+    at a time and the index. A cut archive, and a record without
+    Content-Length, are errors.
+    """
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("source", "target").repartition(n).mapInArrow(_normalise(level), "target string, records long")
 
 
-def read_archives(parts: DataFrame, root: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read by the index and checked against its digest."""
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("part").repartition(n).mapInArrow(_read(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_archives(archives: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of archives(target), read by the index and checked against its digest."""
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("target").repartition(n).mapInArrow(_read(), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write pages as monolithic archives, normalise them and read them back."""
+    """Write pages as monolithic archives, normalise them, drop the monolithic ones and read the others back."""
     tmp = Scratch(pages.sparkSession, "warc")
-    root = tmp.path("archives")
-    parts = tmp.save(write_archives(pages, root), "parts")
-    parts = tmp.save(normalise_archives(parts, root), "normalised")
-    return read_archives(parts, root)
+    parts = tmp.save(write_archives(pages, tmp, tmp.path("monolithic")), "parts")
+    name = F.format_string("%06d", "part")
+    both = parts.select(F.concat(F.lit(tmp.path("monolithic") + "/mono-"), name, F.lit(".warc.gz")).alias("source"), F.concat(F.lit(tmp.path("archives") + "/part-"), name).alias("target"))
+    done = tmp.save(normalise_archives(both), "normalised")
+    tmp.drop("monolithic", "parts", "digests", "again")
+    return read_archives(done)
