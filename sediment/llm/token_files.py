@@ -14,6 +14,8 @@ any document is found by its first id.
 from __future__ import annotations
 
 import gc
+import json
+import math
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from ._scratch import Scratch, open_file, put_file
 from ._tokens import LOWER, NONSPACE, RAW_VALUE, pieces, span_hashes, text_bytes
 from ._wordcache import WordCache
 
-MAGIC, BLOCK = b"SDBITS1\n", 1 << 16
+MAGIC, BLOCK, FILE_BYTES = b"SDBITS1\n", 1 << 16, 16 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -120,20 +122,37 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return low
 
 
+# What a tokenizer must do for its words to be independent.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's words are independent of each other, so that WordEncoder may cut texts into words."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    m = t["model"]
+    plain = m.get("type") == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    marked = all("<" in x["content"] and not any(c.isspace() for c in x["content"]) and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"]) for x in t.get("added_tokens") or [])
+    return plain and marked and t.get("normalizer") == _NORMALIZER and t.get("pre_tokenizer") == _PRE_TOKENIZER and not t.get("truncation")
+
+
 class WordEncoder:
     """Encodes texts by their distinct words with the tokenizers library.
 
-    Only for tokenizers whose words are independent: white space separates, NFC
-    and lower case come first, letters, single digits and other runs are split.
-    ASCII letters are put in lower case first, as the tokenizer would.
-    Words with apostrophes, '<' or characters beyond Latin-1 go to the library
-    whole; others are cut into the runs that it would cut them into.
+    Where a tokenizer's words are independent (white space separates, NFC and
+    lower case come first, letters, single digits and other runs are split),
+    ASCII letters are put in lower case first, as the tokenizer would; words
+    with apostrophes, '<' or characters beyond Latin-1 go to the library whole;
+    others are cut into the runs that it would cut them into. Texts for any
+    other tokenizer go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), WordCache()
+        self.tokenizer, self.cache, self.by_words = Tokenizer.from_file(path), WordCache(), by_words(path)
         self.bpe = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
 
@@ -180,6 +199,8 @@ class WordEncoder:
 
     def batch(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, `end` after each, and each row's offset among them."""
+        if not self.by_words:
+            return self._whole(texts, end)
         data, off = text_bytes(texts)
         data = _folded(data)
         a, b, kind, row = self._units(data, off)
@@ -202,6 +223,12 @@ class WordEncoder:
         return ids, off
 
 
+    def _whole(self, texts, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        tail = [] if end is None else [end]
+        ids = [e.ids + tail for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([x for row in ids for x in row], dtype=np.int64), np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -255,20 +282,23 @@ def write_token_files(documents: DataFrame, tokenizer: str, end: int, root: str,
     """Encode documents(doc_id, text, ...) into about `files` files under root; part, n_docs, n_ids of each.
 
     Documents are dealt by ranges of doc_id and sorted within; equal doc_ids
-    come in order of their text. Null text is empty and has the end id only.
-    Rows without doc_id are left out. The rows of one range are streamed; a
-    task holds the packed ids of its file.
+    come in order of their text's hash, so that many of them fill several
+    files. Null text is empty and has the end id only. Rows without doc_id are
+    left out, repeated rows are written as often as they occur. The rows of one
+    range are streamed; a task holds the packed ids of its file. A text of any
+    length stands in one file. An empty table gives no files.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    dealt = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).filter("doc_id is not null")
+    dealt = docs.repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     return dealt.mapInArrow(_writer(tokenizer, end, root), "part int, n_docs long, n_ids long")
 
 
 def read_token_files(parts: DataFrame, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    One number per file passes through the driver's window; files number the
-    input's size over about 16 MB of text.
+    One number per file passes through one task's window; there is a file for
+    about 16 MB of text, eight at least.
     """
     from pyspark.sql import Window
 
@@ -282,7 +312,8 @@ def token_files(documents: DataFrame, tokenizer: str, end: int = 2) -> DataFrame
     """Write documents' ids and read them back: doc_id, start, n_tokens, ids_crc32 per row. Empty tables give no rows."""
     spark = documents.sparkSession
     tmp = Scratch(spark, "tokens")
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    files = max(8, math.ceil(size / FILE_BYTES))
     root = tmp.path("files")
     parts = tmp.save(write_token_files(documents, tokenizer, end, root, files), "parts")
     return read_token_files(parts, root)
