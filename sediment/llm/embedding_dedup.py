@@ -6,9 +6,11 @@ into blocks of eight. Of two vectors within the distance, some block holds at
 most its share (in proportion to its dimensions) of the squared distance. So
 each block is range-joined by itself: a tree of axis splits, fitted on a
 bounded sample, cuts the block's space into cells; a vector owns its cell and
-visits every cell whose box is within the block's radius. Cells are compared in
-numpy, in blocks of bounded size, and every candidate is verified exactly, in
-double precision, on the whole vectors. A pair counts in the first block that
+visits every later cell whose box is within the block's radius, so two vectors
+meet in one place. Cells are compared in numpy, in squares of bounded size, and
+every candidate is verified exactly, in double precision, on the whole vectors.
+These travel as they were given, in single precision where that holds them, and
+are normalised again where they are compared. A pair counts in the first block that
 holds its share only, so nothing is counted twice and no pairs are emitted:
 a comparison gives a count of links per vector and a star of edges.
 """
@@ -23,7 +25,8 @@ from ._components import connected_components
 from ._scratch import Scratch
 from ._tokens import runs
 
-BLOCK, CELL, CHUNK, SAMPLE, MAX_DEPTH = 8, 512, 1024, 20_000, 14
+BLOCK, CELL, CHUNK, SAMPLE, MAX_DEPTH = 8, 512, 8192, 20_000, 14
+SAMPLE_BYTES, FEW = 32 << 20, 50_000
 _SLACK = 1e-9
 
 
@@ -56,7 +59,7 @@ def _trees(sample: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def _cells(x: np.ndarray, tree, depth: int, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, owned) of each vector's own cell and of the cells within the budget."""
+    """(row, cell, owned) of each vector's own cell and of the later cells within the budget."""
     axis, value = tree
     row, node, home = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), dtype=bool)
     far = np.zeros((len(x), x.shape[1]))  # squared distance to the box on each axis
@@ -67,7 +70,8 @@ def _cells(x: np.ndarray, tree, depth: int, budget: float) -> tuple[np.ndarray,
         other = far.copy()
         at = np.arange(len(row))
         other[at, k] = np.maximum(other[at, k], d * d)
-        cross = other.sum(axis=1) <= budget + _SLACK
+        # from its own path a vector leaves to later cells only: of two cells the earlier one's vectors visit
+        cross = (other.sum(axis=1) <= budget + _SLACK) & ~(home & side)
         row = np.r_[row, row[cross]]
         node = np.r_[2 * node + side, 2 * node[cross] + ~side[cross]]
         home = np.r_[home, np.zeros(int(cross.sum()), dtype=bool)]
@@ -75,15 +79,28 @@ def _cells(x: np.ndarray, tree, depth: int, budget: float) -> tuple[np.ndarray,
     return row, node, home
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors; none is zero."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+
+
 def _vectors(col, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.float64).reshape(-1, dim)
+    """Unit vectors of a column of raw ones, each of four or eight bytes a component."""
+    raw = col.to_pylist()
+    out = np.empty((len(raw), dim))
+    size = np.array([len(r) for r in raw], dtype=np.int64)
+    for width, kind in ((4, np.float32), (8, np.float64)):
+        at = np.flatnonzero(size == width * dim)
+        out[at] = np.frombuffer(b"".join(raw[i] for i in at.tolist()), dtype=kind).reshape(-1, dim)
+    return _unit(out) if len(out) else out
 
 
 def _normalised(batches):
-    """Valid vectors as unit vectors in double precision; the others are left out."""
+    """Valid vectors, raw and as unit vectors in double precision; the others are left out."""
     for batch in batches:
         ids, labels, vec = batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding").to_pylist()
-        keep, dims, unit = [], [], []
+        keep, dims, unit, raw = [], [], [], []
         for i, v in enumerate(vec):
             if v is None or labels[i] is None or any(c is None for c in v):
                 continue
@@ -91,11 +108,13 @@ def _normalised(batches):
             top = np.abs(x).max() if len(x) else 0.0
             if not np.isfinite(top) or top == 0:
                 continue
-            x = x / top
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
             keep.append(i)
             dims.append(len(x))
-            unit.append((x / np.sqrt((x * x).sum()) + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([labels[i] for i in keep], pa.string()), pa.array(dims, pa.int32()), pa.array(unit, pa.binary())], names=["vec_id", "label", "dim", "unit"])
+            raw.append((short if (short == x).all() else x).tobytes())
+            unit.append(_unit(x[None])[0].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([labels[i] for i in keep], pa.string()), pa.array(dims, pa.int32()), pa.array(unit, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "unit", "raw"])
 
 
 def _dealt(shared, depth: int, dim: int, distance: float):
@@ -104,11 +123,11 @@ def _dealt(shared, depth: int, dim: int, distance: float):
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
                 part = batch.slice(i, 4000)
-                x = _vectors(part.column("unit"), dim) @ turn
+                x = _vectors(part.column("raw"), dim) @ turn
                 for b, cut in enumerate(blocks_of(dim)):
                     row, node, home = _cells(x[:, cut], trees[b], depth, distance * (cut.stop - cut.start) / dim)
-                    took = part.select(["label", "rep", "n", "unit"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([took.column("label"), pa.array(np.full(len(row), b, np.int32)), pa.array(node), pa.array(home), *took.columns[1:]], names=["label", "block", "cell", "home", "rep", "n", "unit"])
+                    took = part.select(["label", "rep", "n", "raw"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([took.column("label"), pa.array(np.full(len(row), b, np.int32)), pa.array(node), pa.array(home), *took.columns[1:]], names=["label", "block", "cell", "home", "rep", "n", "raw"])
 
     return dealt
 
@@ -123,9 +142,10 @@ def _compare(shared, dim: int, cosine: float):
             home, rep, n = (t[k].to_numpy(zero_copy_only=False) for k in ("home", "rep", "n"))
             own, other = (t[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("owner_side", "visitor_side"))
             b = t["block"][0].as_py()
-            unit = _vectors(t["unit"], dim)
+            home = home.astype(bool)
+            unit = _vectors(t["raw"], dim)
             x = unit @ turn
-            left, right = np.flatnonzero(home.astype(bool) & own), np.flatnonzero(other)
+            left, right = np.flatnonzero(home & own), np.flatnonzero(other)
             links = np.zeros(len(rep), np.int64)
             parent = np.arange(len(rep))
             sides = [(x[:, c], (x[:, c] ** 2).sum(axis=1), distance * (c.stop - c.start) / dim) for c in cuts[: b + 1]]
@@ -145,6 +165,9 @@ def _compare(shared, dim: int, cosine: float):
                     for vec, _, share in sides[:b]:
                         first &= ((vec[u] - vec[v]) ** 2).sum(axis=1) > share + _SLACK
                     np.add.at(links, u[first], n[v[first]])
+                    # two owners meet twice, once from each side; an owner meets a visitor here only
+                    guest = first & ~home[v]
+                    np.add.at(links, v[guest], n[u[guest]])
                     _union(parent, u, v)
             root = _roots(parent)
             low = np.full(len(rep), np.iinfo(np.int64).max)
@@ -184,15 +207,17 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     equal. Vectors that are null, empty or zero, or hold null or non-finite
     components, link with nothing and are kept. Equal unit vectors are one
     class and are counted, not compared. Rows without vec_id are left out; a
-    repeated vec_id is one vector that its repetition doesn't link. Empty
-    tables give no rows. Other columns are not read.
+    repeated vec_id is one vector that its repetition doesn't link; with several
+    vectors it links what each of them does. Empty tables give no rows. Other
+    columns are not read.
     """
     spark = embeddings.sparkSession
     tmp = Scratch(spark, "vectors")
     distance = 2 - 2 * cosine
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").filter("vec_id is not null")
-    unit = tmp.save(rows.mapInArrow(_normalised, "vec_id long, label string, dim int, unit binary").distinct(), "unit")
-    classes = tmp.save(unit.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    unit = rows.mapInArrow(_normalised, "vec_id long, label string, dim int, unit binary, raw binary")
+    unit = tmp.save(unit.groupBy("label", "dim", "unit", "vec_id").agg(F.min("raw").alias("raw")), "unit")
+    classes = tmp.save(unit.groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("raw").alias("raw")), "classes")
     found = None
     dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").collect()]
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -201,20 +226,24 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
         total, most = cls.groupBy("label").agg(F.count("*").alias("c")).agg(F.sum("c"), F.max("c")).first()
         depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(most / CELL)))))
         turn = rotation(dim)
-        rate = min(1.0, SAMPLE / total)
-        some = [r.unit for r in cls.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < rate * (1 << 20)).select("unit").limit(2 * SAMPLE).collect()]
+        most_rows = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        rate = min(1.0, most_rows / total)
+        some = [r.unit for r in cls.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < rate * (1 << 20)).select("unit").limit(2 * most_rows).collect()]
         trees = _trees(np.frombuffer(b"".join(some), dtype=np.float64).reshape(-1, dim) @ turn, depth)
         shared = spark.sparkContext.broadcast((turn, trees))
-        dealt = cls.select("label", "rep", "n", "unit").mapInArrow(_dealt(shared, depth, dim, distance), "label string, block int, cell long, home boolean, rep long, n long, unit binary")
+        dealt = cls.select("label", "rep", "n", "raw").mapInArrow(_dealt(shared, depth, dim, distance), "label string, block int, cell long, home boolean, rep long, n long, raw binary")
         sizes = dealt.groupBy("label", "block", "cell").agg(F.sum(F.col("home").cast("long")).alias("owners"), F.count("*").alias("visitors"))
-        dealt = dealt.join(sizes, ["label", "block", "cell"])
+        crowded = tmp.save(sizes.filter(F.col("visitors") > CHUNK), f"crowded-{dim}")
+        if crowded.limit(FEW + 1).count() <= FEW:  # some 50 bytes each
+            crowded = F.broadcast(crowded)
+        dealt = dealt.join(crowded, ["label", "block", "cell"], "left")
         # A crowded cell is compared in squares: owners of chunk i with visitors of chunk j
-        a, b = (F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / CHUNK)) for c in ("owners", "visitors"))
+        a, b = (F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce(F.col(c), F.lit(0)) / CHUNK)) for c in ("owners", "visitors"))
         at_a, at_b = F.pmod(F.xxhash64("rep"), a), F.pmod(F.xxhash64("rep"), b)
         line = F.transform(F.sequence(F.lit(0).cast("long"), b - 1), lambda j: F.struct(at_a.alias("i"), j.alias("j")))
         column = F.transform(F.sequence(F.lit(0).cast("long"), a - 1), lambda i: F.struct(i.alias("i"), at_b.alias("j")))
         where = F.explode(F.array_distinct(F.when(F.col("home"), F.concat(line, column)).otherwise(column)))
-        dealt = dealt.withColumn("at", where).select("label", "block", "cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "home", (F.col("at.i") == at_a).alias("owner_side"), (F.col("at.j") == at_b).alias("visitor_side"), "rep", "n", "unit")
+        dealt = dealt.withColumn("at", where).select("label", "block", "cell", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "home", (F.col("at.i") == at_a).alias("owner_side"), (F.col("at.j") == at_b).alias("visitor_side"), "rep", "n", "raw")
         got = dealt.repartition(parts, "label", "block", "cell", "i", "j").sortWithinPartitions("label", "block", "cell", "i", "j").mapInArrow(_compare(shared, dim, cosine), "rep long, links long, root long")
         got = tmp.save(got, f"found-{dim}")
         found = got if found is None else found.unionByName(got)
