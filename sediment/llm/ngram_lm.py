@@ -7,7 +7,11 @@ known by 64-bit hash; a word's id is its place in the sorted hashes of all
 shards, so a bigram is one exact 64-bit key. Bigrams are dealt by their first
 word, so its continuations are counted in one place; the few words that make
 up a thousandth of all tokens or more are dealt by both words, their partial
-counts summed. Workers map the files and look up sorted batches of keys.
+counts summed. Workers map the files and look up sorted batches of keys; a
+shard's arrays stand in few files, and the least used maps are closed before
+the process runs out of file descriptors. What words are counted for in bigrams
+meets in groups of words, as many as the vocabulary needs, not the corpus.
+Blocks travel as differences of their sorted keys, compressed.
 
 With order three a bigram's id is its place in the sorted bigrams of all
 shards, and a trigram is the exact 64-bit key of its first two words' id and
@@ -19,8 +23,10 @@ first word is scored by the bigram.
 
 from __future__ import annotations
 
-import io
+import json
 import math
+import resource
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +36,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._scratch import Scratch, local_path, put_file
 from ._tokens import mix, pieces, row_words, runs, text_bytes
 
-HOT, SHARD_BYTES, FLUSH = 1000, 12 << 20, 3_000_000
+HOT, SHARD_BYTES, FLUSH, GROUP_WORDS = 1000, 16 << 20, 3_000_000, 500_000
 U = np.uint64
 _BLOCK = "shard int, kind int, a binary, b binary"
 
 
-def _save(uri: str, x: np.ndarray) -> None:
-    out = io.BytesIO()
-    np.save(out, x)
-    put_file(uri, [out.getvalue()])
+def _save(uri: str, **arrays: np.ndarray) -> None:
+    """A file of arrays: a line of JSON that lists them, filled up to a multiple of 64 bytes, then each on such a multiple."""
+    head, at = [], 0
+    for name, x in arrays.items():
+        head.append([name, x.dtype.str, len(x), at])
+        at += -(-x.nbytes // 64) * 64
+    line = json.dumps(head).encode()
+    line += b" " * (-(len(line) + 1) % 64) + b"\n"
+    put_file(uri, [line, *(x.tobytes() + b"\0" * (-x.nbytes % 64) for x in arrays.values())])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Integers as their differences, byte planes of these, compressed."""
+    x = x.astype("<u8")
+    planes = np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -54,14 +78,16 @@ def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(shard: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray):
-    """A row for each shard in shard (ascending), with its part of a and b."""
+    """A row for each shard in shard (ascending), with its part of a and b; columns of b follow each other."""
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
     end = np.r_[cut[1:], len(shard)]
-    return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int32)), pa.array([a[i:j].tobytes() for i, j in zip(cut, end)], pa.binary()), pa.array([_small(b[i:j]).astype("<u8" if kind > 9 else "<u4").tobytes() for i, j in zip(cut, end)], pa.binary())], names=["shard", "kind", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int32)), pa.array([_packed(a[i:j]) for i, j in zip(cut, end)], pa.binary()), pa.array([_packed(b[i:j].reshape(-1, order="F")) for i, j in zip(cut, end)], pa.binary())], names=["shard", "kind", "a", "b"])
 
 
-def _joined(t: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(t[column].to_pylist()), dtype=dtype)
+def _joined(t: pa.Table, column: str, columns: int = 1) -> np.ndarray:
+    parts = [_unpacked(x).reshape(columns, -1) for x in t[column].to_pylist()]
+    out = np.concatenate(parts, axis=1) if parts else np.empty((columns, 0), np.uint64)
+    return out[0] if columns == 1 else out
 
 
 def _count_words(bits: int):
@@ -92,9 +118,8 @@ def _merge_words(root: str):
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
-            h, n = _sum_by(_joined(t, "a", "<u8"), _joined(t, "b", "<u4").astype(np.uint64))
-            _save(f"{root}/hash-{s}.npy", h)
-            _save(f"{root}/count-{s}.npy", _small(n))
+            h, n = _sum_by(_joined(t, "a"), _joined(t, "b"))
+            _save(f"{root}/word-{s}", hash=h, count=_small(n))
             total = int(n.sum())
             hot = np.flatnonzero(n * U(HOT) >= U(max(1, total)))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "types": pa.array([len(h)], pa.int64()), "tokens": pa.array([total], pa.int64()), "hot": pa.array([[{"at": int(i), "n": int(n[i])} for i in hot]], pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))})
@@ -118,6 +143,8 @@ class Layout:
     gamma0: float = 0.0
     order: int = 2
     pair_start: np.ndarray | None = None  # first id of each bigram shard, and the number of bigrams
+    triples: np.ndarray | None = None  # number of trigrams of each bigram shard
+    group: np.ndarray | None = None  # first id of each group of words, and the number of words
 
     @property
     def words(self) -> int:
@@ -135,19 +162,42 @@ class Layout:
         return (h >> U(64 - self.pair_bits)).astype(np.int64) if self.pair_bits else np.zeros(len(pair), np.int64)
 
 
+#: Which file of a shard an array is in.
+_FILE = {"hash": "word", "count": "word", "cont": "id", "total": "id", "gamma": "id", "pair": "pair", "times": "pair", "ends": "end", "pairgamma": "end", "weights": "end", "triple": "triple", "triples": "triple"}
+
+
+def _most_maps() -> int:
+    """Half of the file descriptors that this process may have."""
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    if hard != soft:
+        try:
+            soft = 65_536 if hard == resource.RLIM_INFINITY else min(hard, 65_536)
+            resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+        except (ValueError, OSError):
+            soft = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+    return max(16, soft // 2)
+
+
 class Arrays:
-    """Memory-mapped files of a model, opened as they are needed and kept by the worker."""
+    """Memory-mapped files of a model, opened as they are needed and kept by the worker; a missing one is an error."""
 
     def __init__(self, root: str):
-        self.root, self.open = local_path(root), {}
+        self.root, self.open, self.most = local_path(root), OrderedDict(), _most_maps()
 
     def get(self, name: str, s: int) -> np.ndarray:
-        if (name, s) not in self.open:
-            try:
-                self.open[name, s] = np.load(f"{self.root}/{name}-{s}.npy", mmap_mode="r")
-            except FileNotFoundError:  # nothing fell into this shard
-                self.open[name, s] = np.empty(0, np.uint64)
-        return self.open[name, s]
+        key = (_FILE[name], s)
+        if key in self.open:
+            self.open.move_to_end(key)
+        else:
+            while len(self.open) >= self.most:
+                self.open.popitem(last=False)
+            path = f"{self.root}/{key[0]}-{s}"
+            with open(path, "rb") as f:
+                line = f.readline()
+            data = np.memmap(path, dtype=np.uint8, mode="r")
+            base = len(line)
+            self.open[key] = {n: data[base + at : base + at + size * np.dtype(kind).itemsize].view(kind) for n, kind, size, at in json.loads(line)}
+        return self.open[key][name]
 
 
 _arrays: dict[str, Arrays] = {}
@@ -168,6 +218,8 @@ def _ids(m: Layout, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(u) else np.zeros(1, np.int64)
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         s = int(shard[a])
+        if m.start[s + 1] == m.start[s]:
+            continue
         have = arrays.get("hash", s)
         at = np.searchsorted(have, u[a:b])
         ok = at < len(have)
@@ -179,11 +231,12 @@ def _ids(m: Layout, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _gather(m: Layout, name: str, ids: np.ndarray, extra: np.ndarray) -> np.ndarray:
     """Values by id for ascending ids; ids from the number of words on come from extra, -1 is 0."""
     out = np.zeros(len(ids), dtype=np.float64)
-    edge = np.searchsorted(ids, np.r_[m.start, np.iinfo(np.int64).max])
+    start = m.start if _FILE[name] == "word" else m.group
+    edge = np.searchsorted(ids, np.r_[start, np.iinfo(np.int64).max])
     arrays = _arrays_of(m.root)
     for s in np.flatnonzero(np.diff(edge)).tolist():
         own = slice(edge[s], edge[s + 1])
-        out[own] = extra[ids[own] - m.words] if s == len(m.start) - 1 else arrays.get(name, s)[ids[own] - m.start[s]]
+        out[own] = extra[ids[own] - m.words] if s == len(start) - 1 else arrays.get(name, s)[ids[own] - start[s]]
     return out
 
 
@@ -211,8 +264,8 @@ def _pair_ids(m: Layout, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     ids = np.full(len(key), -1, dtype=np.int64)
     for s in np.flatnonzero(np.diff(edge)).tolist():
         own = order[edge[s] : edge[s + 1]]
-        have = arrays.get("pair", s)
-        if len(have):
+        if m.pair_start[s + 1] > m.pair_start[s]:
+            have = arrays.get("pair", s)
             p = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
             ids[own] = np.where(have[p] == key[own], p + m.pair_start[s], -1)
     out[both] = ids[inverse]
@@ -226,7 +279,8 @@ def _by_pair(m: Layout, name: str, pair: np.ndarray) -> np.ndarray:
     edge = np.searchsorted(u, m.pair_start)
     for s in np.flatnonzero(np.diff(edge)).tolist():
         own = slice(edge[s], edge[s + 1])
-        out[own] = arrays.get(name, s)[u[own] - m.pair_start[s]]
+        x = arrays.get(name, s)[u[own] - m.pair_start[s]]
+        out[own] = arrays.get("weights", s)[x] if name == "pairgamma" else x
     return out[inverse]
 
 
@@ -294,19 +348,19 @@ def _row(shard: int, kind: int, *numbers: int):
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([np.array(numbers, "<u8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "kind", "a", "b"])
 
 
+def _numbers(rows: DataFrame, where: str) -> list[tuple[int, list[int]]]:
+    """(shard, numbers) of the rows that _row made."""
+    return [(r.shard, np.frombuffer(r.a, "<u8").astype(np.int64).tolist()) for r in rows.filter(where).select("shard", "a").collect()]
+
+
 def _to_words(m: Layout, key: np.ndarray, n: np.ndarray):
-    """Blocks to the words' shards: continuations of second words and contexts of first ones."""
+    """Blocks to the words' groups: continuations of second words (kind 1); of contexts the total and how many occur once, twice, more (kind 2)."""
     second, cont = np.unique(key & U(0xFFFFFFFF), return_counts=True)
-    place = np.searchsorted(m.start, second.astype(np.int64), "right") - 1
-    yield _block(place, 1, second.astype("<u4"), cont)
-    first = (key >> U(32)).astype("<u4")
+    yield _block(np.searchsorted(m.group, second.astype(np.int64), "right") - 1, 1, second, cont)
+    first = key >> U(32)
     cut = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-    v = first[cut]
-    place = np.searchsorted(m.start, v.astype(np.int64), "right") - 1
-    for kind, x in ((10, n), (11, (n == 1).astype(np.uint64)), (12, (n == 2).astype(np.uint64)), (13, (n >= 3).astype(np.uint64))):
-        x = np.add.reduceat(x, cut)
-        some = x > 0
-        yield _block(place[some], kind, v[some], x[some])
+    sums = np.stack([np.add.reduceat(x.astype(np.uint64), cut) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
+    yield _block(np.searchsorted(m.group, first[cut].astype(np.int64), "right") - 1, 2, first[cut], sums)
 
 
 def _merge_triples(m: Layout):
@@ -315,15 +369,15 @@ def _merge_triples(m: Layout):
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
-            key, n = _sum_by(_joined(t, "a", "<u8"), _joined(t, "b", "<u4").astype(np.uint64))
-            _save(f"{m.root}/triple-{s}.npy", key)
-            _save(f"{m.root}/triples-{s}.npy", _small(n))
+            key, n = _sum_by(_joined(t, "a"), _joined(t, "b"))
+            _save(f"{m.root}/triple-{s}", triple=key, triples=_small(n))
             yield _row(-1, 0, *_of_counts(n))
+            yield _row(-2 - s, 0, len(key))
             for i in range(0, len(key), FLUSH):
                 part = key[i : i + FLUSH]
                 middle = _arrays_of(m.root).get("pair", s)[(part >> U(32)).astype(np.int64) - m.pair_start[s]] & U(0xFFFFFFFF)
                 pair, cont = np.unique(_pair_ids(m, middle.astype(np.int64), (part & U(0xFFFFFFFF)).astype(np.int64)), return_counts=True)
-                yield _block(np.searchsorted(m.pair_start, pair, "right") - 1, 1, pair.astype("<u8"), cont)
+                yield _block(np.searchsorted(m.pair_start, pair, "right") - 1, 1, pair.astype(np.uint64), cont)
 
     return merge
 
@@ -337,13 +391,14 @@ def _merge_ends(m: Layout, discounts):
             arrays, lo = _arrays_of(m.root), int(m.pair_start[s])
             key = np.array(arrays.get("pair", s))
             part = t.filter(pa.array(t["kind"].to_numpy() == 1))
-            ends = np.bincount(_joined(part, "a", "<u8").astype(np.int64) - lo, _joined(part, "b", "<u4"), len(key)).astype(np.uint64)
+            ends = np.bincount(_joined(part, "a").astype(np.int64) - lo, _joined(part, "b"), len(key)).astype(np.uint64)
             ends = np.where(key >> U(32) == U(m.words + 1), arrays.get("times", s), ends).astype(np.uint64)
-            _save(f"{m.root}/ends-{s}.npy", _small(ends))
-            context = (arrays.get("triple", s) >> U(32)).astype(np.int64) - lo
-            n = np.array(arrays.get("triples", s), dtype=np.int64)
+            context, n = np.empty(0, np.int64), np.empty(0, np.int64)
+            if m.triples[s]:
+                context, n = (arrays.get("triple", s) >> U(32)).astype(np.int64) - lo, np.array(arrays.get("triples", s), dtype=np.int64)
             gamma = np.bincount(context, n - _less(n, discounts), len(key)) / np.maximum(np.bincount(context, n, len(key)), 1)
-            _save(f"{m.root}/pairgamma-{s}.npy", gamma)
+            weights, which = np.unique(gamma, return_inverse=True)  # few differ
+            _save(f"{m.root}/end-{s}", ends=_small(ends), pairgamma=_small(which), weights=weights)
             yield _row(-1, 0, *_of_counts(ends))
             yield from _to_words(m, key, ends)
 
@@ -356,9 +411,8 @@ def _merge_pairs(m: Layout):
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
-            key, n = _sum_by(_joined(t, "a", "<u8"), _joined(t, "b", "<u4").astype(np.uint64))
-            _save(f"{m.root}/pair-{s}.npy", key)
-            _save(f"{m.root}/times-{s}.npy", _small(n))
+            key, n = _sum_by(_joined(t, "a"), _joined(t, "b"))
+            _save(f"{m.root}/pair-{s}", pair=key, times=_small(n))
             yield _row(-1, 0, *_of_counts(n))
             yield _row(-2 - s, 0, len(key))
             if m.order == 2:
@@ -370,27 +424,22 @@ def _merge_pairs(m: Layout):
 
 
 def _merge_ids(m: Layout, discounts):
-    """Per shard of words: continuation counts and the contexts' totals and back-off weights, in order of id."""
+    """Per group of words: continuation counts and the contexts' totals and back-off weights, in order of id."""
 
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
-            lo = int(m.start[s])
-            size = int(m.start[s + 1]) - lo if s < len(m.start) - 1 else 2
+            lo = int(m.group[s])
+            size = int(m.group[s + 1]) - lo if s < len(m.group) - 1 else 2
             kinds = t["kind"].to_numpy()
-            sums = {}
-            for k in (1, 10, 11, 12, 13):
-                part = t.filter(pa.array(kinds == k))
-                ids = _joined(part, "a", "<u4").astype(np.int64) - lo
-                sums[k] = np.bincount(ids, _joined(part, "b", "<u8" if k > 9 else "<u4"), size).astype(np.int64)
-            cont = sums[1]
+            of_second, of_first = (t.filter(pa.array(kinds == k)) for k in (1, 2))
+            by_id = lambda part, x: np.bincount(_joined(part, "a").astype(np.int64) - lo, x, size).astype(np.int64)
+            cont = by_id(of_second, _joined(of_second, "b"))
+            total, once, twice, more = (by_id(of_first, x) for x in _joined(of_first, "b", 4))
             d1, d2, d3 = discounts
-            total = sums[10]
-            gamma = (d1 * sums[11] + d2 * sums[12] + d3 * sums[13]) / np.maximum(total, 1)
+            gamma = (d1 * once + d2 * twice + d3 * more) / np.maximum(total, 1)
             gamma[total == 0] = 1.0
-            _save(f"{m.root}/cont-{s}.npy", _small(cont))
-            _save(f"{m.root}/total-{s}.npy", _small(total))
-            _save(f"{m.root}/gamma-{s}.npy", gamma)
+            _save(f"{m.root}/id-{s}", cont=_small(cont), total=_small(total), gamma=gamma)
             yield pa.RecordBatch.from_arrays([pa.array([_of_counts(cont)], pa.list_(pa.int64())), pa.array([int(cont.sum())], pa.int64())], names=["of", "cont"])
 
     return merge
@@ -410,10 +459,14 @@ def _less(n: np.ndarray, d) -> np.ndarray:
 
 def _added(rows: DataFrame) -> list[int]:
     """Counts of counts of all shards, 1 to 4."""
-    of = np.zeros(5, dtype=np.int64)
-    for r in rows.filter("shard = -1").select("a").collect():
-        of += np.frombuffer(r.a, "<u8").astype(np.int64)
-    return of[:4].tolist()
+    return np.sum([x for _, x in _numbers(rows, "shard = -1")] or [[0] * 5], axis=0)[:4].tolist()
+
+
+def _sizes(rows: DataFrame, shards: int) -> np.ndarray:
+    out = np.zeros(shards, np.int64)
+    for s, (n,) in _numbers(rows, "shard < -1"):
+        out[-2 - s] = n
+    return out
 
 
 def train(documents: DataFrame, tmp: Scratch, order: int = 2) -> Layout:
@@ -437,17 +490,19 @@ def train(documents: DataFrame, tmp: Scratch, order: int = 2) -> Layout:
     hot = sorted(int(start[s]) + x["at"] for s, r in got.items() for x in r.hot if x["n"] * HOT >= tokens)
     if int(start[-1]) >= 1 << 32:
         raise ValueError("more than 2**32 words: ids no longer fit half a key")
+    groups = min(1 << bits, max(8, math.ceil(int(start[-1]) / GROUP_WORDS)))
     m = Layout(root, bits, start, tokens, n_docs, np.array([*hot, int(start[-1]), int(start[-1]) + 1], dtype=np.int64), bits + 1, order=order)
+    m.group = np.arange(groups + 1, dtype=np.int64) * int(start[-1]) // groups
     pairs = dealt(docs.mapInArrow(_count_pairs(m), _BLOCK)).mapInArrow(_merge_pairs(m), _BLOCK)
     pairs = tmp.save(pairs, "pairs")
-    sizes = {-2 - r.shard: int(np.frombuffer(r.a, "<u8")[0]) for r in pairs.filter("shard < -1").collect()}
-    m.pair_start = np.r_[0, np.cumsum([sizes.get(k, 0) for k in range(1 << m.pair_bits)])].astype(np.int64)
+    m.pair_start = np.r_[0, np.cumsum(_sizes(pairs, 1 << m.pair_bits))].astype(np.int64)
     of_triples = []
     if order == 3:
         if int(m.pair_start[-1]) >= 1 << 32:
             raise ValueError("more than 2**32 bigrams: ids no longer fit half a key")
         triples = tmp.save(dealt(docs.mapInArrow(_count_triples(m), _BLOCK)).mapInArrow(_merge_triples(m), _BLOCK), "triples")
         of_triples = [discounts(*_added(triples))]
+        m.triples = _sizes(triples, 1 << m.pair_bits)
         ends = dealt(pairs.filter("shard >= 0").unionByName(triples.filter("shard >= 0"))).mapInArrow(_merge_ends(m, of_triples[0]), _BLOCK)
         pairs = tmp.save(ends, "ends")
         tmp.drop("pairs", "triples")
@@ -471,8 +526,8 @@ def _triple_times(m: Layout, context: np.ndarray, last: np.ndarray) -> np.ndarra
     n = np.zeros(len(key))
     for s in np.flatnonzero(np.diff(edge)).tolist():
         own = slice(edge[s], edge[s + 1])
-        have = arrays.get("triple", s)
-        if len(have):
+        if m.triples[s]:
+            have = arrays.get("triple", s)
             p = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
             n[own] = np.where(have[p] == key[own], arrays.get("triples", s)[p], 0)
     out[known] = n[inverse]
@@ -482,11 +537,10 @@ def _triple_times(m: Layout, context: np.ndarray, last: np.ndarray) -> np.ndarra
 def _score(m: Layout):
     def score(batches):
         arrays = _arrays_of(m.root)
-        ends = len(m.start) - 1  # the shard that holds end and start
 
         def extra(name: str) -> np.ndarray:
-            x = np.array(arrays.get(name, ends), dtype=np.float64)
-            return x if len(x) else np.zeros(2)
+            """Of end and start, which are the last group."""
+            return np.array(arrays.get(name, len(m.group) - 1), dtype=np.float64) if m.documents else np.zeros(2)
 
         rest = {name: extra(name) for name in ("cont", "total", "gamma")}
         for batch in batches:
@@ -512,15 +566,17 @@ def _score(m: Layout):
                     p[at] = _less(times, m.discounts[2]) / _by_pair(m, "times", context[at]) + _by_pair(m, "pairgamma", context[at]) * p[at]
                 model = np.log10(p)
                 sums = [np.add.reduceat(x, off[:-1]) for x in (base, model, known.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(off)), pa.array(sums[2]), pa.array(np.full(part.num_rows, m.tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                with np.errstate(over="ignore"):
+                    perplexity = np.power(10.0, -sums[1] / np.diff(off))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(off)), pa.array(sums[2]), pa.array(np.full(part.num_rows, m.tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(perplexity)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return score
 
 
 def score(documents: DataFrame, m: Layout, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of documents(doc_id, text, ...)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of documents(doc_id, text, ...)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_score(m), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(_score(m), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_documents(documents: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
@@ -530,7 +586,8 @@ def score_documents(documents: DataFrame, held_out: Column, order: int = 2) -> D
     other than ASCII white space, A-Z lower-cased. Whole texts are counted and
     scored; repeated rows count as often as they occur. Unknown words have the
     probability left for one unseen type. Without training rows every token is
-    unknown. An empty table gives no rows. Other columns are not read.
+    unknown. An empty table gives no rows. Other columns are not read. A file
+    of the model that is missing is an error.
     """
     tmp = Scratch(documents.sparkSession, "ngrams")
     return score(documents, train(documents.filter(~F.coalesce(held_out, F.lit(False))), tmp, order), held_out)

@@ -38,7 +38,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"), _fold() == 1, order=3)
+    """Sums of logarithms are given to six places."""
+    out = score_documents(_table(spark, sf_dir, "documents"), _fold() == 1, order=3)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_embedding_dedup, op2_ngram_lm, op3_token_files, op4_language_id, op5_minhash_dedup, op6_warc, op7_sentencepiece, op8_chat_format, op9_decontamination, op10_secret_scan)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+
+def _ngram_sql() -> str:
+    """Trigrams, bigrams and words counted and interpolated by joins. DuckDB has no crc32: it is spelt out bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT), lambda c, b: {byte}))"
+
+    def less(n: str, d: str) -> str:
+        return f"({n} - CASE WHEN {n} = 0 THEN 0 WHEN {n} = 1 THEN {d}.d1 WHEN {n} = 2 THEN {d}.d2 ELSE {d}.d3 END)"
+
+    def discounts(table: str) -> str:
+        y = "(n1 / (n1 + 2.0 * n2))"
+        return f"""(SELECT CASE WHEN n1 > 0 THEN least(greatest(1 - 2 * {y} * n2 / n1, 0.05), 1) ELSE 0.5 END::DOUBLE AS d1, CASE WHEN n2 > 0 THEN least(greatest(2 - 3 * coalesce({y}, 0.5) * n3 / n2, 0.05), 2) ELSE 1.0 END::DOUBLE AS d2, CASE WHEN n3 > 0 THEN least(greatest(3 - 4 * coalesce({y}, 0.5) * n4 / n3, 0.05), 3) ELSE 1.5 END::DOUBLE AS d3
+FROM (SELECT count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM {table}))"""
+
+    return f"""WITH d AS (SELECT doc_id, coalesce({crc} % 5 = 1, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') || [' end'] AS ws FROM documents),
+t AS (SELECT doc_id, held_out, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] ELSE ' start' END AS v, CASE WHEN i > 2 THEN ws[i - 2] WHEN i = 2 THEN ' start' END AS u FROM (SELECT doc_id, held_out, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+tr AS (SELECT * FROM t WHERE NOT held_out), c AS (SELECT w, count(*) AS n FROM tr GROUP BY w), raw AS (SELECT v, w, count(*) AS n FROM tr GROUP BY v, w), tri AS (SELECT u, v, w, count(*) AS n FROM tr WHERE u IS NOT NULL GROUP BY u, v, w),
+bi AS (SELECT v, w, n FROM raw WHERE v = ' start' UNION ALL SELECT v, w, count(*) FROM tri GROUP BY v, w), cont AS (SELECT w, count(*) AS n FROM raw GROUP BY w),
+x1 AS {discounts("cont")}, x2 AS {discounts("bi")}, x3 AS {discounts("tri")},
+a AS (SELECT (SELECT sum(n) FROM c) AS n_all, (SELECT count(*) FROM c) AS v_all, (SELECT sum(n) FROM cont) AS c_all, (SELECT sum(n - {less("n", "x1")}) / sum(n) FROM cont, x1) AS g0),
+c2 AS (SELECT v, sum(n) AS total, sum(n - {less("n", "x2")}) / sum(n) AS g FROM bi, x2 GROUP BY v), c3 AS (SELECT u, v, sum(n) AS total, sum(n - {less("n", "x3")}) / sum(n) AS g FROM tri, x3 GROUP BY u, v),
+p AS (SELECT t.doc_id, t.held_out, c.n AS seen, n_all, log10((coalesce(c.n, 0) + 0.5) / (n_all + 0.5 * (v_all + 1))) AS base, {less("coalesce(cont.n, 0)", "x1")} / c_all + g0 / (v_all + 1) AS p1,
+coalesce({less("coalesce(bi.n, 0)", "x2")} / c2.total, 0) AS f2, coalesce(c2.g, 1) AS g2, coalesce({less("coalesce(tri.n, 0)", "x3")} / c3.total, 0) AS f3, coalesce(c3.g, 1) AS g3
+FROM t CROSS JOIN a CROSS JOIN x1 CROSS JOIN x2 CROSS JOIN x3 LEFT JOIN c ON c.w = t.w LEFT JOIN cont ON cont.w = t.w LEFT JOIN bi ON bi.v = t.v AND bi.w = t.w LEFT JOIN c2 ON c2.v = t.v
+LEFT JOIN tri ON tri.u = t.u AND tri.v = t.v AND tri.w = t.w LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(seen) AS n_known, CAST(any_value(n_all) AS BIGINT) AS train_tokens, round(sum(base), 6) AS base_score, round(sum(log10(f3 + g3 * (f2 + g2 * p1))), 6) AS score FROM p GROUP BY doc_id, held_out"""
+
+
 def _secret_sql() -> str:
     """Spans from the lengths of matches and of the gaps between them, a rule at a time."""
 
@@ -123,6 +154,7 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label
 r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
 n AS (SELECT a, count(*) AS k FROM l GROUP BY a), c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""",
+    "op2_ngram_lm": _ngram_sql(),
     "op5_minhash_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
