@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sediment.llm._scratch import Scratch
 from sediment.llm.decontamination import decontaminate
@@ -14,29 +14,60 @@ from sediment.llm.sentencepiece_codec import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model is sure enough of; learnt from the labels of four fifths of them."""
+    """Documents whose language the model is sure enough of; learnt from the labels of four fifths of them.
+
+    Texts that are null, empty or without a letter go, as their language can't
+    be told. Rows are judged one by one, by their whole text: repeated rows
+    alike, rows without doc_id too (they aren't learnt from). Without labels
+    nothing is learnt and all documents go. Empty tables give no rows.
+    """
     model = train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     return accepted_documents(docs, model)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near copies.
+
+    Of rows that share the kept doc_id one stays, that with the smallest text,
+    null first. Rows without doc_id can't be told apart and all stay, as do
+    texts without words, each under its own doc_id. Empty tables give no rows.
+    """
+    found = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = Scratch(spark, "kept").save(found, "ids")
+    # Texts move only for ids that occur more than once
+    once, more = (found.filter(c).select(F.col("doc_id").alias("of")) for c in ("rows = 1", "rows > 1"))
+    mine = F.col("doc_id").cast("long") == F.col("of")
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ("text", *(f.name for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != "text"))])
+    again = docs.join(more, mine, "left_semi").withColumn("dedup: place", F.row_number().over(first)).filter(F.col("dedup: place") == 1)
+    return docs.join(once, mine, "left_semi").union(again.select(*[F.col(f"`{c}`") for c in docs.columns])).union(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as do rows without doc_id that
+    hold none; repeated rows are judged alike. Texts are searched whole. An
+    empty benchmark leaves all documents, an empty table gives no rows.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars counted again."""
+    """All documents, with secrets replaced by a mark and n_chars counted again.
+
+    Null and empty texts, repeated rows and rows without doc_id stay as they
+    are, or are redacted alike. Texts are scanned whole, in time that grows with
+    their length. Empty tables give no rows.
+    """
     return redact_documents(docs, Scratch(spark, "secrets"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the ids, and digest of the decoded text, of each document."""
+    """Number and digest of the ids, and digest of the decoded text, of each document.
+
+    A null text is empty and has no ids; rows are encoded one by one, whole,
+    repeated rows and rows without doc_id too. Empty tables give no rows.
+    """
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
