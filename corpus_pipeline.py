@@ -39,7 +39,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     mine = F.col("doc_id").cast("long") == F.col("of")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ("text", *(f.name for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != "text"))])
     again = docs.join(more, mine, "left_semi").withColumn("dedup: place", F.row_number().over(first)).filter(F.col("dedup: place") == 1)
-    return docs.join(once, mine, "left_semi").union(again.select(*[F.col(f"`{c}`") for c in docs.columns])).union(docs.filter("doc_id is null"))
+    # all ids but the dropped ones: never few, so texts are dealt by id at any size
+    return docs.join(once.hint("merge"), mine, "left_semi").union(again.select(*[F.col(f"`{c}`") for c in docs.columns])).union(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
