@@ -6,6 +6,9 @@ polynomial over random byte values modulo 2**64, mixed; A-Z count as a-z.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +59,22 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def lean(f):
+    """f over the batches of a task; what it freed goes back to the system, as workers live on for other tasks."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 6 << 20):
     """Slices of a batch with about `most` bytes of text each; a longer row stands alone."""
     if not batch.num_rows:

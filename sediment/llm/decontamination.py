@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._tokens import mix, pieces, shingle_hashes, span_hashes, spans, text_bytes
+from ._tokens import lean, mix, pieces, shingle_hashes, span_hashes, spans, text_bytes
 from ._wordcache import ragged
 
 SEED, COVERAGE, BLOCK_CHARS = 5, 0.75, 16_000_000
@@ -207,6 +207,7 @@ def _blocks(benchmark: DataFrame):
 
 
 def _find(shared, threshold: float):
+    @lean
     def find(batches):
         bench = shared.value
         for batch in batches:
@@ -221,6 +222,7 @@ def _find(shared, threshold: float):
 
 
 def _clean(shared, threshold: float):
+    @lean
     def clean(batches):
         bench = shared.value
         for batch in batches:

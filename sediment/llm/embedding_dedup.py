@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._components import connected_components
 from ._scratch import Scratch
-from ._tokens import runs
+from ._tokens import lean, runs
 
 BLOCK, CELL, CHUNK, SAMPLE, MAX_DEPTH = 8, 512, 8192, 20_000, 14
 SAMPLE_BYTES, FEW = 32 << 20, 50_000
@@ -118,6 +118,7 @@ def _normalised(batches):
 
 
 def _dealt(shared, depth: int, dim: int, distance: float):
+    @lean
     def dealt(batches):
         turn, trees = shared.value
         for batch in batches:
@@ -135,6 +136,7 @@ def _dealt(shared, depth: int, dim: int, distance: float):
 def _compare(shared, dim: int, cosine: float):
     distance = 2 - 2 * cosine
 
+    @lean
     def compare(batches):
         turn, _ = shared.value
         cuts = blocks_of(dim)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._components import connected_components
 from ._scratch import Scratch
-from ._tokens import pieces, row_sets, row_words, runs, text_bytes
+from ._tokens import lean, pieces, row_sets, row_words, runs, text_bytes
 
 POSITIONS, CHUNK, DISTANCE, WIDTH = 64, 4, 31, 5
 _RNG = np.random.default_rng(77)
@@ -49,6 +49,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(48)).astype(np.uint16)
 
 
+@lean
 def _fingerprints(batches):
     for batch in batches:
         for part in pieces(batch, "text", 3 << 20):
@@ -71,6 +72,7 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+@lean
 def _sets(batches):
     """The set of each row whose text is of the class it was joined with; other texts of that doc_id are left."""
     for batch in batches:
@@ -112,6 +114,7 @@ def _likely(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
 def _near(similarity: int):
     """Keeps pairs within the signature distance that the sketches allow."""
 
+    @lean
     def near(batches):
         for batch in batches:
             if batch.num_rows:
@@ -124,6 +127,7 @@ def _near(similarity: int):
 
 
 def _confirm(similarity: int):
+    @lean
     def confirm(batches):
         for batch in batches:
             keep = []
@@ -142,6 +146,7 @@ def _across(similarity: int):
     A pair comes from the first of its common buckets only.
     """
 
+    @lean
     def across(batches):
         for t in runs(batches, ["key", "i", "j"]):
             c, own, rep = (t[k].to_numpy() for k in ("component", "block", "rep"))
@@ -266,6 +271,7 @@ def near_duplicates(documents: DataFrame, similarity: int = 75) -> DataFrame:
     if not rest.isEmpty():
         links = links.unionByName(confirmed(tmp.save(_oriented(rest), "oriented"), "rest"))
         comp = tmp.save(connected_components(links, tmp, "cc"), "comp")
+    tmp.drop("shared", "same", "pairs-hub", "pairs-rest", "oriented", "links-hub", "links-rest")
     linked = comp.join(cls.select(F.col("rep").alias("id"), "doc"), "id")
     linked = linked.join(linked.groupBy("component").agg(F.min("doc").alias("c")), "component").select(F.col("id").alias("rep"), "c")
     of_class = cls.select("digest", "rep", "doc").join(linked, "rep", "left").select("digest", F.coalesce("c", "doc").alias("c"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._scratch import Scratch, local_path, put_file
-from ._tokens import mix, pieces, row_words, runs, text_bytes
+from ._tokens import lean, mix, pieces, row_words, runs, text_bytes
 
 HOT, SHARD_BYTES, FLUSH, GROUP_WORDS = 1000, 16 << 20, 3_000_000, 500_000
 U = np.uint64
@@ -91,6 +91,7 @@ def _joined(t: pa.Table, column: str, columns: int = 1) -> np.ndarray:
 
 
 def _count_words(bits: int):
+    @lean
     def count(batches):
         held = []
         size = 0
@@ -115,6 +116,7 @@ def _count_words(bits: int):
 
 
 def _merge_words(root: str):
+    @lean
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
@@ -293,6 +295,7 @@ def _before(pair: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _count_triples(m: Layout):
+    @lean
     def count(batches):
         held, size = [], 0
 
@@ -317,6 +320,7 @@ def _count_triples(m: Layout):
 
 
 def _count_pairs(m: Layout):
+    @lean
     def count(batches):
         held, size = [], 0
 
@@ -366,6 +370,7 @@ def _to_words(m: Layout, key: np.ndarray, n: np.ndarray):
 def _merge_triples(m: Layout):
     """Writes a shard's trigrams; sends, to the shards of their last two words, how many end in them."""
 
+    @lean
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
@@ -385,6 +390,7 @@ def _merge_triples(m: Layout):
 def _merge_ends(m: Layout, discounts):
     """Per shard of bigrams: how many trigrams end in each, and its back-off weight as a context; sends bigrams on."""
 
+    @lean
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
@@ -408,6 +414,7 @@ def _merge_ends(m: Layout, discounts):
 def _merge_pairs(m: Layout):
     """Writes a shard's bigrams; sends them on with order two, and else their number."""
 
+    @lean
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
@@ -426,6 +433,7 @@ def _merge_pairs(m: Layout):
 def _merge_ids(m: Layout, discounts):
     """Per group of words: continuation counts and the contexts' totals and back-off weights, in order of id."""
 
+    @lean
     def merge(batches):
         for t in runs(batches, ["shard"]):
             s = t["shard"][0].as_py()
@@ -535,6 +543,7 @@ def _triple_times(m: Layout, context: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def _score(m: Layout):
+    @lean
     def score(batches):
         arrays = _arrays_of(m.root)
 

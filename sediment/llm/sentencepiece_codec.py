@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._tokens import RAW_VALUE, pieces, span_hashes, text_bytes
+from ._tokens import RAW_VALUE, lean, pieces, span_hashes, text_bytes
 from ._wordcache import WordCache, ragged
 
 SPACE = "▁"
@@ -249,6 +249,7 @@ def codec_of(path: str) -> Codec:
 
 
 def _digests(path: str, keep: bool):
+    @lean
     def digests(batches):
         codec = codec_of(path)
         number = [str(i).encode() for i in range(len(codec.model.pieces))]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._scratch import Scratch, open_file, put_file
-from ._tokens import LOWER, NONSPACE, RAW_VALUE, pieces, span_hashes, text_bytes
+from ._tokens import LOWER, NONSPACE, RAW_VALUE, lean, pieces, span_hashes, text_bytes
 from ._wordcache import WordCache
 
 MAGIC, BLOCK, FILE_BYTES = b"SDBITS1\n", 1 << 16, 16 << 20
@@ -241,6 +241,7 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 def _writer(path: str, end: int, root: str):
+    @lean
     def write(batches):
         enc, bits = encoder_of(path), None
         docs, sizes, blocks, held = [], [], [], np.empty(0, np.int64)
