@@ -32,15 +32,17 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     null first. Rows without doc_id can't be told apart and all stay, as do
     texts without words, each under its own doc_id. Empty tables give no rows.
     """
-    found = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept"))
     found = Scratch(spark, "kept").save(found, "ids")
-    # Texts move only for ids that occur more than once
-    once, more = (found.filter(c).select(F.col("doc_id").alias("of")) for c in ("rows = 1", "rows > 1"))
+    # Texts stay where they lie unless more ids than that go or occur more than once
+    other = found.filter("not kept or rows > 1").select(F.col("doc_id").alias("of"))
+    if other.limit(FEW + 1).count() <= FEW:
+        other = F.broadcast(other)
     mine = F.col("doc_id").cast("long") == F.col("of")
+    more = docs.join(found.filter("kept and rows > 1").select(F.col("doc_id").alias("of")), mine, "left_semi")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ("text", *(f.name for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != "text"))])
-    again = docs.join(more, mine, "left_semi").withColumn("dedup: place", F.row_number().over(first)).filter(F.col("dedup: place") == 1)
-    # all ids but the dropped ones: never few, so texts are dealt by id at any size
-    return docs.join(once.hint("merge"), mine, "left_semi").union(again.select(*[F.col(f"`{c}`") for c in docs.columns])).union(docs.filter("doc_id is null"))
+    more = more.withColumn("dedup: place", F.row_number().over(first)).filter(F.col("dedup: place") == 1)
+    return docs.join(other, mine, "left_anti").union(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +74,9 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Most ids that are broadcast, some 40 bytes each.
+FEW = 50_000
+
 STAGES = [
     ("language_id", language_id),
     ("minhash_dedup", minhash_dedup),
