@@ -57,6 +57,16 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _BLANK, "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
+
+
+def blank(c: Column) -> Column:
+    """Nothing but white space of any script."""
+    return c.rlike(rf"^[{_SPACE}]*\z")
+
+
 def once(value: Column, f) -> Column:
     """f(value), with value computed once a row however often f names it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -72,7 +82,7 @@ def is_placeholder(c: Column) -> Column:
 
 def skeleton(c: Column) -> Column:
     """The literal wording of a line of any script, null where it is blank, too long, or prose."""
-    s = F.regexp_replace(c, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
+    s = trimmed(c)
     usable = (s != "") & (F.length(s) <= 4 * SHAPE_CHARS)
     out = s
     for m in ANY_MASKS:
@@ -98,20 +108,44 @@ def epoch_micros(c: Column) -> Column:
 
 _DATE, _TIME, _ZONE = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?", r"(?:Z|[+-]\d{2}:?\d{2})?"
 ISO = rf"^{_DATE}(?:[T ]{_TIME}{_ZONE})?$"
-ISO_BASIC = rf"^\d{{8}}(?:T\d{{6}}{_ZONE})?$"
+#: All other forms: basic dates, weeks, hours alone, basic times, offsets of hours, any one character between date and time.
+_ANY_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}-\d|\d{4}W\d{3}"
+_ANY_TIME = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
+_ANY_ZONE = r"Z|[+-]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?|\d{2}(?:\d{2}(?:\.\d+)?)?)?"
+ANY_ISO = rf"^(?:({_ANY_DATE})(?:[^\d]({_ANY_TIME})({_ANY_ZONE})?)?|(\d{{4}}-?W\d{{2}}))$"
 
 
 def _micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
+def _iso_date(s: Column) -> Column:
+    """yyyy-MM-dd of a basic date or a day of a week, Monday where none is named; null for weeks that a year has not."""
+    d = F.regexp_replace(s, "-", "")
+    year, week, day = F.substring(d, 1, 4).cast("int"), F.substring(d, 6, 2).cast("int"), F.coalesce(F.nullif(F.substring(d, 8, 1), F.lit("")), F.lit("1")).cast("int")
+    monday = F.to_date(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))))
+    of_week = F.date_add(monday, (week - 1) * 7 + day - 1)
+    ok = week.between(1, 53) & day.between(1, 7) & (F.weekofyear(of_week) == week)
+    of_week = F.when(ok, F.date_format(of_week, "yyyy-MM-dd"))
+    return F.when(s.contains("W"), of_week).otherwise(F.regexp_replace(d, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+
+
+def _iso_plain(s: Column) -> Column:
+    """Any ISO form as yyyy-MM-dd HH:mm:ss.ffffff and offset."""
+    part = lambda i: F.regexp_extract(s, ANY_ISO, i)
+    time, zone = F.regexp_replace(part(2), ":", ""), F.regexp_replace(part(3), ":", "")
+    clock = F.regexp_replace(F.rpad(F.regexp_replace(time, "[.,].*", ""), 6, "0"), r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3")
+    fraction = F.substring(F.regexp_extract(time, r"[.,](\d+)$", 1), 1, 6)
+    offset = F.when(zone.isin("", "Z"), zone).otherwise(F.regexp_replace(F.rpad(F.substring(zone, 1, 5), 5, "0"), r"^(...)(..)$", "$1:$2"))
+    return F.concat(_iso_date(F.concat(part(1), part(4))), F.lit(" "), clock, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), offset)
+
+
 def iso_micros(c: Column) -> Column:
     """Microseconds of an ISO 8601 date or date and time, naive read as UTC, else null."""
 
     def full(s: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(s, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
-        basic = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?", "$1-$2-$3 $4:$5:$6")
-        return F.when(s.rlike(ISO), plain).when(s.rlike(ISO_BASIC), F.regexp_replace(basic, " ::", ""))
+        return F.when(s.rlike(ISO), plain).when(s.rlike(ANY_ISO), _iso_plain(s))
 
     return _micros(F.try_to_timestamp(once(stripped(c), full)))
 

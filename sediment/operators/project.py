@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import canonical_name, clock_micros, field_state, is_placeholder, message_ids, non_empty
 from ..schema import content_field, declared_classes, declared_fields, identity_key
+from .cells import columns_of
 from .shapes import classify, matches, owners, shape_counts, templates
 
 
@@ -29,7 +30,7 @@ def project(schema: dict, records: DataFrame, pos: str = "pos") -> DataFrame:
     shape; redacted values never leave field_state's placeholder.
     """
     spark = records.sparkSession
-    names = [c for c in records.columns if c != pos]
+    names = columns_of(records, pos)
     text = {n: F.col(f"`{n}`").cast("string") for n in names}
     missing = F.lit(None).cast("string")
     col = lambda p: text.get(p.split(".")[0], missing)

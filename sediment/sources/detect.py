@@ -26,6 +26,10 @@ class Substrate:
     fields: list[str] = field(default_factory=list)
     available: int | None = None
     note: str = ""
+    read: int = 0  # records, where the reader counts them
+    joined: int = 0  # lines put together to fewer records
+    skipped: int = 0  # lines that are in no record
+    syslog: dict | None = None  # what a syslog reader assumed
 
 
 def syslog_votes(head: str, most: int = 40) -> dict[str, int]:
