@@ -17,9 +17,12 @@ def rank_clocks(cells: DataFrame, most: int = SAMPLE) -> DataFrame:
     A field needs values in half of the sample and ten at least; its strategy
     is the first to read nine tenths of them. Score: parse rate times half of
     one plus the share of adjacent times that don't go back. Ties go to the
-    name. The sample bounds the window that compares neighbours.
+    name. The sample bounds the window that compares neighbours. Records are
+    taken in order of pos, whatever their numbers.
     """
-    first = cells.filter(F.col("pos") < most)
+    fields = cells.select("field").distinct().count()
+    # the first `most` records have at most this many cells
+    first = cells.orderBy("pos").limit(most * max(1, fields)).withColumn("place", F.dense_rank().over(Window.orderBy("pos"))).filter(F.col("place") <= most).drop("place")
     size = first.agg(F.countDistinct("pos").alias("size"))
     long = reduce(DataFrame.unionByName, [first.filter(non_empty(F.col("sval"))).select("pos", "field", F.lit(n).alias("strategy"), F.lit(i).alias("place"), f(F.col("sval")).alias("t")) for i, (n, f) in enumerate(STRATEGIES)])
     rate = long.groupBy("field", "strategy", "place").agg(F.count("*").alias("n"), F.count("t").alias("ok"), F.min("t").alias("first"), F.max("t").alias("last")).crossJoin(F.broadcast(size))

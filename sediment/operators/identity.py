@@ -7,14 +7,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import is_placeholder
 
 VERDICTS = ("session", "entity", "bucket", "undetermined", "noise")
+_DAY = 86400e6
+_SPAN_BITS = 28  # four and a half minutes of microseconds
+_CLASSES = 64  # classes of values in an octave
 
 
 def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | None = None, partial: bool = False, shapes: dict[str, str] | None = None) -> DataFrame:
     """A row of statistics and a verdict for each candidate key; clock: microseconds or null.
 
-    One scan: every record gives a row per candidate, reduced to one per key
-    before the statistics. A record counts for a key if no part of it is null,
-    empty or the text None.
+    Every record gives a row per candidate, reduced to one per key and time
+    before anything is dealt by key, so a key that holds most of the table is
+    spread by time. A record counts for a key if no part of it is null, empty
+    or the text None.
     """
     t = F.lit(None).cast("long") if clock is None else clock
     parts = {f: F.col(f"`{f}`").cast("string") for k in keys for f in k}
@@ -28,18 +32,14 @@ def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | Non
             masked = masked | is_placeholder(parts[f])
         options.append(F.when(ok, F.struct(F.lit("+".join(k)).alias("candidate"), F.to_json(F.array(*[parts[f] for f in k])).alias("key"), masked.cast("int").alias("masked"))))
     rows = records.select(t.alias("t"), F.explode(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("c")).select("t", "c.*")
-    per = rows.groupBy("candidate", "key").agg(F.count("*").alias("n"), F.count("t").alias("nt"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("masked").alias("masked"))
-    day = 86400e6
-    own = F.when(F.col("nt") >= 2, (F.col("t1") - F.col("t0")) / day)
+    times = rows.groupBy("candidate", "key", "t").agg(F.count("*").alias("m"), F.sum("masked").alias("masked"))
+    per = times.groupBy("candidate", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("t").isNotNull(), F.col("m"))).alias("nt"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("masked").alias("masked"))
     a = per.groupBy("candidate").agg(
         F.count("*").alias("groups"),
         F.count_if(F.col("n") == 1).alias("singletons"),
-        F.sum("n").alias("rows"),
         (F.sum("n") / F.count("*")).alias("mean_size"),
-        ((F.max("t1") - F.min("t0")) / day).alias("span_days"),
-        F.sum("nt").alias("timed"),
-        F.percentile(own, 0.5).alias("own_days"),
-        F.percentile(F.when(own > 0, F.col("nt") / own), 0.5).alias("own_rate"),
+        ((F.max("t1") - F.min("t0")) / _DAY).alias("span_days"),
+        F.coalesce(F.sum("nt"), F.lit(0)).alias("timed"),
         (F.sum("masked") / F.sum("n")).alias("placeholder_rate"),
     )
     # The size at index floor(0.95 (groups - 1)) of the sorted sizes, from their histogram
@@ -47,15 +47,57 @@ def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | Non
     w = Window.partitionBy("candidate")
     h = h.withColumn("upto", F.sum("k").over(w.orderBy("n"))).withColumn("all", F.sum("k").over(w))
     p95 = h.filter(F.col("upto") > F.floor(0.95 * (F.col("all") - 1))).groupBy("candidate").agg(F.min("n").alias("p95_size"))
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("candidate", "key").orderBy("t"))
-    gaps = rows.filter("t is not null").select("candidate", (gap / 1e6).alias("gap")).groupBy("candidate").agg(F.percentile("gap", 0.5).alias("median_gap_s"))
-    out = a.join(p95, "candidate").join(gaps, "candidate", "left")
+    timed = per.filter("nt >= 2").select("candidate", (F.col("t1") - F.col("t0")).cast("double").alias("own"), "nt")
+    own = timed.select("candidate", F.lit("own").alias("of"), F.col("own").alias("v"), F.lit(1).cast("long").alias("k"))
+    speed = timed.filter("own > 0").select("candidate", F.lit("rate").alias("of"), (F.col("nt") / F.col("own")).alias("v"), F.lit(1).cast("long").alias("k"))
+    m = medians(own.unionByName(speed).unionByName(_gaps(times.filter("t is not null"))))
+    m = m.groupBy("candidate").agg(*[F.max(F.when(F.col("of") == of, F.col("median") * scale)).alias(name) for of, name, scale in (("own", "own_days", 1 / _DAY), ("rate", "own_rate", _DAY), ("gap", "median_gap_s", 1e-6))])
+    out = a.join(p95, "candidate").join(m, "candidate", "left")
     shape = F.lit("token")
     for f, s in (shapes or {}).items():
         shape = F.when(F.col("candidate") == f, s).otherwise(shape)
     rate = F.when(F.col("span_days") > 0, F.col("timed") / F.col("span_days"))
     out = out.withColumn("rate_per_day", rate).withColumn("verdict", verdict(shape, partial))
-    return out.drop("timed", "rows")
+    return out.drop("timed")
+
+
+def _gaps(times: DataFrame) -> DataFrame:
+    """candidate, of, v, k: how often each gap, in microseconds, lies between neighbours of a key in times(candidate, key, t, m).
+
+    A key's times are cut into spans of the clock, so that neighbours are
+    found span by span wherever they lie; the last time of a span meets the
+    first of the next one. A key of any size has one row a span.
+    """
+    x = times.select("candidate", "key", "t", "m", F.shiftright("t", _SPAN_BITS).alias("span"))
+    within = Window.partitionBy("candidate", "key", "span").orderBy("t")
+    inner = x.select("candidate", (F.col("t") - F.lag("t").over(within)).alias("v")).filter("v is not null")
+    ends = x.groupBy("candidate", "key", "span").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    outer = ends.select("candidate", (F.col("first") - F.lag("last").over(Window.partitionBy("candidate", "key").orderBy("span"))).alias("v")).filter("v is not null")
+    same = x.filter("m > 1").select("candidate", F.lit(0).cast("long").alias("v"), (F.col("m") - 1).alias("k"))
+    once = inner.unionByName(outer).withColumn("k", F.lit(1).cast("long"))
+    return once.unionByName(same).select("candidate", F.lit("gap").alias("of"), F.col("v").cast("double").alias("v"), "k")
+
+
+def medians(values: DataFrame) -> DataFrame:
+    """candidate, of, median of values(candidate, of, v, k), k times v, none below zero.
+
+    Exact, without a task that holds all values of a group: sums over classes
+    of values within about one percent find the class of the middle ranks; only
+    its distinct values are put in order.
+    """
+    size = F.when(F.col("v") > 0, F.floor(F.log2("v") * _CLASSES)).otherwise(-1_000_000)
+    h = values.groupBy("candidate", "of", "v").agg(F.sum("k").alias("k")).withColumn("class", size)
+    of = Window.partitionBy("candidate", "of")
+    c = h.groupBy("candidate", "of", "class").agg(F.sum("k").alias("k"))
+    c = c.withColumn("upto", F.sum("k").over(of.orderBy("class"))).withColumn("all", F.sum("k").over(of))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    c = c.withColumn("low", low).withColumn("high", high).filter((F.col("upto") > F.col("low")) & (F.col("upto") - F.col("k") <= F.col("high")))
+    c = c.select("candidate", "of", "class", (F.col("upto") - F.col("k")).alias("before"), "low", "high")
+    x = h.join(F.broadcast(c), ["candidate", "of", "class"])  # two classes at most of each statistic of each candidate
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("candidate", "of", "class").orderBy("v"))
+    x = x.withColumn("upto", upto)
+    at = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("k") <= F.col(rank)), F.col("v")))
+    return x.groupBy("candidate", "of").agg(((at("low") + at("high")) / 2).alias("median"))
 
 
 def verdict(shape: Column, partial: bool) -> Column:
