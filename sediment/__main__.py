@@ -60,6 +60,7 @@ def _run(a: argparse.Namespace, spark) -> tuple[int, dict, str]:
     from .operators.project import preview_summary, project
     from .operators.validate import Measurement, validate
     from .reports import gate, inspection
+    from .reports.rounding import rounded
     from .sources.readers import read
 
     schema = _schema(a.schema) if getattr(a, "schema", None) else None
@@ -69,8 +70,9 @@ def _run(a: argparse.Namespace, spark) -> tuple[int, dict, str]:
         shown, summary = [r.asDict(recursive=True) for r in events.collect()], preview_summary(events)
         events.unpersist()
         scanned = records.count()
+        shown = rounded(shown)
         return 0, {"path": a.path, "schema": a.schema, "scanned": scanned, "truncated": cut, "summary": summary, "events": shown}, gate.render_preview(shown, summary, scanned, cut, a.path, a.schema)
-    m = Measurement(records, hit_limit=cut)
+    m = Measurement(records, hit_limit=cut, kept=bool(a.limit))
     try:
         if a.verb == "inspect":
             r = inspection.inspect(m, sub, a.limit or None)

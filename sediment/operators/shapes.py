@@ -22,13 +22,22 @@ def shape_counts(records: DataFrame, content: str) -> DataFrame:
     return records.filter(non_empty(c)).groupBy(skeleton(c).alias("shape")).agg(F.count("*").alias("n"))
 
 
+_TOKEN = re.compile(r"<[^>]*>|[^\s<]+|<")
+
+
 def literal_words(template: str) -> list[str]:
-    """The words a template pins down, its variables left out."""
-    out = []
-    for token in re.sub(r"<[^>]*>", " ", template).split():
-        bare = token.strip(_EDGE)
-        if "=" in bare:  # key=value: both sides stay as they are
-            out += [w for w in (side.strip(":,;()") for side in bare.split("=")) if w]
+    """The words a template pins down, its variables left out.
+
+    Of key=value both sides are words as they are; other words count without
+    the punctuation around them, from two characters on, unless they stand for
+    a variable.
+    """
+    text = _TOKEN.sub(lambda m: " " if m[0].endswith(">") and m[0].startswith("<") else m[0], template)
+    out: list[str] = []
+    for bare in (token.strip(_EDGE) for token in text.split()):
+        key, sign, value = bare.partition("=")
+        if sign:
+            out.extend(w for w in (x.strip(":,;()") for x in (key, *value.split("="))) if w)
         elif len(bare) > 1 and bare.upper() not in PLACEHOLDER_WORDS:
             out.append(bare)
     return out
@@ -69,6 +78,12 @@ def owners(matched: DataFrame, rule: str = "specific") -> DataFrame:
     return matched.withColumn("at", F.row_number().over(w)).filter("at = 1").select("shape", "n", "name", "template")
 
 
+def absorbed(matched: DataFrame) -> DataFrame:
+    """name, rank, shape, n: every shape that a class's words occur in, shortest first, then by text."""
+    order = Window.partitionBy("place").orderBy(F.length("shape"), "shape")
+    return matched.select("place", "name", F.row_number().over(order).alias("rank"), "shape", "n")
+
+
 def residue(shapes: DataFrame, owner: DataFrame) -> DataFrame:
     """Shapes that no class owns."""
     return shapes.filter("shape is not null").join(owner.select("shape"), "shape", "left_anti")
@@ -78,5 +93,6 @@ def classify(records: DataFrame, content: str, owner: DataFrame, empty_class: st
     """records with shape and class: by the owner of the shape, or the empty class where content is empty."""
     c = F.col(f"`{content}`").cast("string")
     r = records.withColumn("shape", F.when(non_empty(c), skeleton(c)))
-    r = r.join(F.broadcast(owner.select(F.col("shape").alias("of"), F.col("name").alias("class"))), F.col("shape") == F.col("of"), "left").drop("of")
+    # shapes may be as many as records in free text, so the join is left to their size
+    r = r.join(owner.select(F.col("shape").alias("of"), F.col("name").alias("class")), F.col("shape") == F.col("of"), "left").drop("of")
     return r.withColumn("class", F.when(~F.coalesce(non_empty(c), F.lit(False)), F.lit(empty_class)).otherwise(F.col("class")))

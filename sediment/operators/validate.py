@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import clock_micros, non_empty
 from ..schema import RETENTION, content_field, declared_classes, declared_fields, identity_key
-from .cells import cells
+from .cells import cells, columns_of
 from .clock import rank_clocks
 from .identity import evidence, measure, pair_candidates, rank_of
 from .profile import profile_fields, value_shapes
 from .project import message_id_stats
-from .shapes import matches, owners, residue, shape_counts, templates
+from .shapes import absorbed, matches, owners, residue, shape_counts, templates
 
-COVERAGE, SHOWN = 0.90, 12
+COVERAGE, SHOWN, SHOWN_SHAPES = 0.90, 12, 20
 
 
 @dataclass
@@ -39,11 +39,15 @@ class Report:
 
 
 class Measurement:
-    """What is true of the data whatever a schema claims; each fact is computed once and kept."""
+    """What is true of the data whatever a schema claims; each fact is computed once and kept.
 
-    def __init__(self, records: DataFrame, pos: str = "pos", hit_limit: bool = False):
-        self.records, self.pos, self.hit_limit = records.persist(), pos, hit_limit
-        self.names = [c for c in records.columns if c != pos]
+    kept: hold the records themselves too, in memory and on disk; for a whole
+    large file they should be read again instead.
+    """
+
+    def __init__(self, records: DataFrame, pos: str = "pos", hit_limit: bool = False, kept: bool = True):
+        self.records, self.pos, self.hit_limit = records.persist() if kept else records, pos, hit_limit
+        self.names = columns_of(records, pos)
         self.cells = cells(self.records, pos, self.names)
         self._kept: dict = {}
 
@@ -138,7 +142,7 @@ def _message_key(schema: dict, m: Measurement) -> Result:
         return Result("message_key", False, f"the pattern does not compile: {e}", dict(mk), True)
     if groups != 1:
         return Result("message_key", False, f"the pattern needs exactly one group, it has {groups}", dict(mk), True)
-    s = message_id_stats(m.records, name, pattern).first().asDict()
+    s = m._once(("message", name, pattern), lambda: message_id_stats(m.records, name, pattern).first().asDict())
     return Result("message_key", s["records_with_id"] > 0, f"{s['distinct_ids']} ids in {s['records_with_id']} records" if s["records_with_id"] else "the pattern extracts nothing", s)
 
 
@@ -155,6 +159,12 @@ def _classes(schema: dict, m: Measurement):
     if bad:
         yield Result("classes_resolve", False, f"{len(bad)} of {len(classes)} classes have no usable retention", {"bad_retention": bad, "allowed": list(RETENTION)}, True)
         return
+    key = ("classes", content, *((str(c.get("name")), str(c.get("template")), c.get("template") is None) for c in classes))
+    yield from m._once(key, lambda: list(_matched_classes(classes, content, m)))
+
+
+def _matched_classes(classes: list[dict], content: str, m: Measurement):
+    """Which shapes the classes match, and how many records that covers."""
     spark = m.records.sparkSession
     if content in m.names:
         shapes, empties = m.shapes(content), m.empties(content)
@@ -180,8 +190,13 @@ def _classes(schema: dict, m: Measurement):
     top = [{"shape": r.shape, "records": r.n} for r in rest.orderBy(F.desc("n"), "shape").limit(8).collect()]
     total = m.count - none
     share = covered / total if total else 0.0
+    sizes = {r.place: r for r in got.groupBy("place").agg(F.count("*").alias("shapes"), F.sum("n").alias("records")).collect()}
+    shown: dict = {}
+    for r in absorbed(got).filter(F.col("rank") <= SHOWN_SHAPES).orderBy("place", "rank").collect():
+        shown.setdefault(r.place, []).append(r["shape"])
+    matched = [{"name": classes[k].get("name"), "template": classes[k].get("template"), "shapes": r.shapes, "records": r.records, "shortest_shapes": shown[k]} for k, r in sorted(sizes.items())]
     got.unpersist()
-    yield Result("classes_resolve", not unmatched, f"{len(unmatched)} of {len(classes)} classes match nothing" if unmatched else f"all {len(classes)} classes match a shape", {"unmatched": unmatched})
+    yield Result("classes_resolve", not unmatched, f"{len(unmatched)} of {len(classes)} classes match nothing" if unmatched else f"all {len(classes)} classes match a shape", {"unmatched": unmatched, "matched": matched})
     yield Result("every_record_classed", share >= COVERAGE, f"{share:.1%} of templatable records are in a class (threshold {COVERAGE:.0%})", {"coverage": round(share, 4), "residue_records": total - covered, "residue_shapes": n, "residue_shapes_seen_once": single, "residue_top_shapes": top, "untemplatable_records": none})
 
 

@@ -6,6 +6,7 @@ from dataclasses import asdict
 
 from ..operators.validate import Report, Result
 from .inspection import short, table
+from .rounding import rounded
 
 # What to do about each kind of failure.
 ADVICE = {
@@ -35,7 +36,7 @@ def advise(r: Result) -> list[str]:
 
 def validation_dict(rep: Report, path: str, schema: str, iteration: int | None = None) -> dict:
     bad = rep.failures()
-    return {"path": path, "schema": schema, "iteration": iteration, "ok": rep.ok, "coverage": rep.coverage, "predicates": [asdict(r) for r in rep.results], "fatal": [r.name for r in bad if r.fatal], "advice": {r.name: advise(r) for r in bad}}
+    return {"path": path, "schema": schema, "iteration": iteration, "ok": rep.ok, "coverage": rep.coverage, "predicates": rounded([asdict(r) for r in rep.results]), "fatal": [r.name for r in bad if r.fatal], "advice": {r.name: advise(r) for r in bad}}
 
 
 def render_validation(d: dict) -> str:

@@ -9,6 +9,7 @@ from ..operators.profile import content_rank, dominant_kinds, first_values
 from ..operators.validate import Measurement
 from ..sources.detect import Substrate
 from ..sources.readers import read
+from .rounding import rounded
 
 LIMIT, EXAMPLES = 200_000, 3
 MEANING = {
@@ -23,7 +24,11 @@ MEANING = {
 def inspect_path(spark: SparkSession, path: str, limit: int | None = LIMIT) -> dict:
     """The report of a file's first `limit` records; None reads all of them."""
     sub, records, cut = read(spark, path, limit)
-    return inspect(Measurement(records, hit_limit=cut), sub, limit)
+    m = Measurement(records, hit_limit=cut, kept=limit is not None)
+    try:
+        return inspect(m, sub, limit)
+    finally:
+        m.close()
 
 
 def inspect(m: Measurement, sub: Substrate, limit: int | None = LIMIT) -> dict:
@@ -50,9 +55,28 @@ def inspect(m: Measurement, sub: Substrate, limit: int | None = LIMIT) -> dict:
         "classes": _classes(m, text),
         "health": {"masked": [_pick(f, "field", "placeholder_rate") for f in fields if f["placeholder_rate"] > 0.01], "sparse": [_pick(f, "field", "fill_rate") for f in fields if f["fill_rate"] < 0.5]},
     }
+    report = rounded(report)
     return report | {"questions": questions(report)}
 
 
+def disclosures(form: dict) -> list[str]:
+    """What a reader put together, left out and assumed, in words."""
+    out = []
+    if form.get("joined"):
+        out.append(f"{form['joined']:,} lines were joined to the record before or to one of several lines")
+    if form.get("skipped"):
+        out.append(f"{form['skipped']:,} lines are in no record")
+    s = form.get("syslog")
+    if s:
+        if s["year_assumed"]:
+            out.append(f"the year is not in the file: {s['year'] or 'none'} is assumed ({s['year_source']})")
+        for name, text in (("year_wrapped_records", "records got another year than that"), ("year_ambiguous_records", "records could as well be of another year"), ("undated_records", "records have no year at all")):
+            if s[name]:
+                out.append(f"{s[name]:,} {text}")
+        out += [f"not a record: {x}" for x in s["unmatched_samples"]]
+    return out
+
+
 def _pick(row: dict, *names: str) -> dict:
     return {n: row[n] for n in names}
 
@@ -101,6 +125,7 @@ def render(r: dict) -> str:
     out = [f"{r['path']}: {r['format']['kind']}, {scan['records']:,} records" + " (TRUNCATED)" * scan["truncated"]]
     if r["format"]["note"]:
         out.append(f"  {r['format']['note']}")
+    out += [f"  {x}" for x in disclosures(r["format"])]
     if r["coverage"]["is_prefix_of_timeline"]:
         out.append("  PREFIX OF THE TIMELINE: identity verdicts are indicative. Rescan without --limit.")
     out += ["", "FIELDS"] + table(("field", "kind", "filled", "distinct", "longest", "sample"), [(f["field"], f["kind"], f"{f['fill_rate']:.0%}", f"{f['distinct']:,}", f["max_length"], short(f["samples"][0]) if f["samples"] else "-") for f in r["fields"]])
