@@ -21,8 +21,10 @@ def rank_clocks(cells: DataFrame, most: int = SAMPLE) -> DataFrame:
     taken in order of pos, whatever their numbers.
     """
     fields = cells.select("field").distinct().count()
-    # the first `most` records have at most this many cells
-    first = cells.orderBy("pos").limit(most * max(1, fields)).withColumn("place", F.dense_rank().over(Window.orderBy("pos"))).filter(F.col("place") <= most).drop("place")
+    # the first `most` records have at most this many cells; one number comes to the driver
+    head = cells.select("pos").orderBy("pos").limit(most * max(1, fields))
+    last = head.select("pos", F.dense_rank().over(Window.orderBy("pos")).alias("place")).filter(F.col("place") <= most).agg(F.max("pos")).first()[0]
+    first = cells.filter(F.col("pos") <= F.lit(last))
     size = first.agg(F.countDistinct("pos").alias("size"))
     long = reduce(DataFrame.unionByName, [first.filter(non_empty(F.col("sval"))).select("pos", "field", F.lit(n).alias("strategy"), F.lit(i).alias("place"), f(F.col("sval")).alias("t")) for i, (n, f) in enumerate(STRATEGIES)])
     rate = long.groupBy("field", "strategy", "place").agg(F.count("*").alias("n"), F.count("t").alias("ok"), F.min("t").alias("first"), F.max("t").alias("last")).crossJoin(F.broadcast(size))

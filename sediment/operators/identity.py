@@ -32,8 +32,13 @@ def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | Non
             masked = masked | is_placeholder(parts[f])
         options.append(F.when(ok, F.struct(F.lit("+".join(k)).alias("candidate"), F.to_json(F.array(*[parts[f] for f in k])).alias("key"), masked.cast("int").alias("masked"))))
     rows = records.select(t.alias("t"), F.explode(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("c")).select("t", "c.*")
-    times = rows.groupBy("candidate", "key", "t").agg(F.count("*").alias("m"), F.sum("masked").alias("masked"))
-    per = times.groupBy("candidate", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("t").isNotNull(), F.col("m"))).alias("nt"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("masked").alias("masked"))
+    # Sums are kept in one column at each level: what follows reads it whole, so that one shuffle serves all readers
+    times = rows.groupBy("candidate", "key", "t").agg(F.struct(F.count("*").alias("m"), F.sum("masked").alias("masked")).alias("p"))
+    times = times.withColumn("span", F.shiftright("t", _SPAN_BITS))
+    m, timed = F.col("p.m"), F.when(F.col("t").isNotNull(), F.col("p.m"))
+    spans = times.groupBy("candidate", "key", "span").agg(F.struct(F.sum(m).alias("n"), F.sum(timed).alias("nt"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("p.masked").alias("masked")).alias("q"))
+    per = spans.groupBy("candidate", "key").agg(F.struct(F.sum("q.n").alias("n"), F.sum("q.nt").alias("nt"), F.min("q.t0").alias("t0"), F.max("q.t1").alias("t1"), F.sum("q.masked").alias("masked")).alias("r"))
+    per = per.select("candidate", "r.*")
     a = per.groupBy("candidate").agg(
         F.count("*").alias("groups"),
         F.count_if(F.col("n") == 1).alias("singletons"),
@@ -47,10 +52,11 @@ def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | Non
     w = Window.partitionBy("candidate")
     h = h.withColumn("upto", F.sum("k").over(w.orderBy("n"))).withColumn("all", F.sum("k").over(w))
     p95 = h.filter(F.col("upto") > F.floor(0.95 * (F.col("all") - 1))).groupBy("candidate").agg(F.min("n").alias("p95_size"))
-    timed = per.filter("nt >= 2").select("candidate", (F.col("t1") - F.col("t0")).cast("double").alias("own"), "nt")
-    own = timed.select("candidate", F.lit("own").alias("of"), F.col("own").alias("v"), F.lit(1).cast("long").alias("k"))
-    speed = timed.filter("own > 0").select("candidate", F.lit("rate").alias("of"), (F.col("nt") / F.col("own")).alias("v"), F.lit(1).cast("long").alias("k"))
-    m = medians(own.unionByName(speed).unionByName(_gaps(times.filter("t is not null"))))
+    own = (F.col("t1") - F.col("t0")).cast("double")
+    of = lambda name, v: F.struct(F.lit(name).alias("of"), v.alias("v"))
+    of_keys = per.select("candidate", F.explode(F.when(F.col("nt") >= 2, F.array(of("own", own), of("rate", F.try_divide("nt", own))))).alias("x"))
+    of_keys = of_keys.select("candidate", "x.of", "x.v", F.lit(1).cast("long").alias("k")).filter("v is not null")
+    m = medians(of_keys.unionByName(_gaps(times, spans)))
     m = m.groupBy("candidate").agg(*[F.max(F.when(F.col("of") == of, F.col("median") * scale)).alias(name) for of, name, scale in (("own", "own_days", 1 / _DAY), ("rate", "own_rate", _DAY), ("gap", "median_gap_s", 1e-6))])
     out = a.join(p95, "candidate").join(m, "candidate", "left")
     shape = F.lit("token")
@@ -61,21 +67,19 @@ def measure(records: DataFrame, keys: list[tuple[str, ...]], clock: Column | Non
     return out.drop("timed")
 
 
-def _gaps(times: DataFrame) -> DataFrame:
-    """candidate, of, v, k: how often each gap, in microseconds, lies between neighbours of a key in times(candidate, key, t, m).
+def _gaps(times: DataFrame, spans: DataFrame) -> DataFrame:
+    """candidate, of, v, k: how often each gap, in microseconds, lies between neighbours of a key.
 
     A key's times are cut into spans of the clock, so that neighbours are
     found span by span wherever they lie; the last time of a span meets the
     first of the next one. A key of any size has one row a span.
     """
-    x = times.select("candidate", "key", "t", "m", F.shiftright("t", _SPAN_BITS).alias("span"))
-    within = Window.partitionBy("candidate", "key", "span").orderBy("t")
-    inner = x.select("candidate", (F.col("t") - F.lag("t").over(within)).alias("v")).filter("v is not null")
-    ends = x.groupBy("candidate", "key", "span").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    outer = ends.select("candidate", (F.col("first") - F.lag("last").over(Window.partitionBy("candidate", "key").orderBy("span"))).alias("v")).filter("v is not null")
-    same = x.filter("m > 1").select("candidate", F.lit(0).cast("long").alias("v"), (F.col("m") - 1).alias("k"))
-    once = inner.unionByName(outer).withColumn("k", F.lit(1).cast("long"))
-    return once.unionByName(same).select("candidate", F.lit("gap").alias("of"), F.col("v").cast("double").alias("v"), "k")
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("candidate", "key", "span").orderBy("t"))
+    of = lambda v, k: F.struct(v.alias("v"), k.cast("long").alias("k"))
+    inner = times.withColumn("gap", gap).select("candidate", F.explode(F.array(of(F.col("gap"), F.lit(1)), of(F.when(F.col("t").isNotNull(), F.lit(0).cast("long")), F.col("p.m") - 1))).alias("x")).select("candidate", "x.v", "x.k")
+    step = F.col("q.t0") - F.lag("q.t1").over(Window.partitionBy("candidate", "key").orderBy("span"))
+    outer = spans.select("candidate", step.alias("v"), F.lit(1).cast("long").alias("k"))
+    return inner.unionByName(outer).filter("v is not null and k > 0").select("candidate", F.lit("gap").alias("of"), F.col("v").cast("double").alias("v"), "k")
 
 
 def medians(values: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ class Measurement:
     """
 
     def __init__(self, records: DataFrame, pos: str = "pos", hit_limit: bool = False, kept: bool = True):
-        self.records, self.pos, self.hit_limit = records.persist() if kept else records, pos, hit_limit
+        self.records, self.pos, self.hit_limit, self.kept = records.persist() if kept else records, pos, hit_limit, kept
         self.names = columns_of(records, pos)
         self.cells = cells(self.records, pos, self.names)
         self._kept: dict = {}
@@ -76,15 +76,26 @@ class Measurement:
         """Single fields and the best pairs, ranked; pairs cut so that about a dozen candidates remain."""
 
         def make():
-            t = clock_micros(F.col(f"`{clock}`").cast("string")) if clock in self.names else None
+            records, t = self.records, None
+            if clock in self.names:
+                t, records = F.col("record: time"), self._timed(clock)
             shapes = {r.field: r.shape for r in value_shapes(self.cells).collect()}
-            run = lambda keys, s=None: [r.asDict() for r in measure(self.records, keys, t, self.hit_limit, s).orderBy(rank_of(F.col("verdict")), F.desc("mean_size"), "candidate").collect()]
+            run = lambda keys, s=None: [r.asDict() for r in measure(records, keys, t, self.hit_limit, s).orderBy(rank_of(F.col("verdict")), F.desc("mean_size"), "candidate").collect()]
             singles = run([(n,) for n in self.names], shapes)
             pairs = pair_candidates(singles, self.count)
             return singles + (run(pairs)[: max(2, SHOWN - len(singles))] if pairs else [])
 
         return self._once(("identity", clock), make)
 
+    def _timed(self, clock: str) -> DataFrame:
+        """Records with the clock read, which is costly: once, where records are kept."""
+
+        def make():
+            df = self.records.withColumn("record: time", clock_micros(F.col(f"`{clock}`").cast("string")))
+            return df.persist() if self.kept else df
+
+        return self._once(("timed", clock), make)
+
     def shapes(self, content: str) -> DataFrame:
         return self._once(("shapes", content), lambda: shape_counts(self.records, content).persist())
 
