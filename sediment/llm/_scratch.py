@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,12 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+_ROOTS: list[str] = []
+
+
+@atexit.register
+def _delete_all() -> None:
+    """When the driver's process ends, nothing reads its scratch folders any more."""
+    for root in _ROOTS:
+        try:
+            fs, path = pafs.FileSystem.from_uri(root)
+            fs.delete_dir(path)
+        except (OSError, ValueError):  # gone, or in a store that pyarrow doesn't reach
+            pass
+
+
 class Scratch:
-    """Named tables and file folders under one fresh folder of shared_dir()."""
+    """Named tables and file folders under one fresh folder of shared_dir(), deleted when the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -126,6 +126,66 @@ LEFT JOIN tri ON tri.u = t.u AND tri.v = t.v AND tri.w = t.w LEFT JOIN c3 ON c3.
 SELECT doc_id, held_out, count(*) AS n_tokens, count(seen) AS n_known, CAST(any_value(n_all) AS BIGINT) AS train_tokens, round(sum(base), 6) AS base_score, round(sum(log10(f3 + g3 * (f2 + g2 * p1))), 6) AS score FROM p GROUP BY doc_id, held_out"""
 
 
+def _token_sql() -> str:
+    """Byte-pair merges of each distinct word, the lowest rank first and of equal ones the leftmost, by recursion; crc32 by a table."""
+    return f"""WITH RECURSIVE j AS (SELECT content::JSON AS j FROM read_text('{_tokenizer('word_bpe_49k.json')}')),
+merges AS (SELECT m[1] AS a, m[2] AS b, row_number() OVER () AS rank FROM (SELECT unnest(ms) AS m FROM (SELECT CASE WHEN json_type(j, '$.model.merges[0]') = 'ARRAY' THEN CAST(j->'$.model.merges' AS VARCHAR[][]) ELSE list_transform(CAST(j->'$.model.merges' AS VARCHAR[]), lambda x: string_split(x, ' ')) END AS ms FROM j))),
+vocab AS (SELECT e.key AS piece, e.value AS id FROM (SELECT unnest(map_entries(CAST(j->'$.model.vocab' AS MAP(VARCHAR, INTEGER)))) AS e FROM j)),
+d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x09-\\x0d\\x20\\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')), '<\\|startoftext\\|>|<\\|endoftext\\|>|''s|''t|''re|''ve|''m|''ll|''d|\\p{{L}}+|\\p{{N}}|[^\\x20\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+u AS (SELECT DISTINCT w FROM t),
+h AS (SELECT w, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: CAST('0x' || x AS INTEGER)) AS bytes FROM u),
+s0 AS (SELECT w, list_transform(bytes, lambda x, i: chr(CASE WHEN x BETWEEN 33 AND 126 OR x BETWEEN 161 AND 172 OR x >= 174 THEN x WHEN x < 33 THEN 256 + x WHEN x < 161 THEN 256 + x - 94 ELSE 323 END) || if(i = len(bytes), '</w>', '')) AS s FROM h),
+r(w, s, n) AS (SELECT w, s, 0 FROM s0 WHERE w NOT IN ('<|startoftext|>', '<|endoftext|>')
+UNION ALL SELECT w, s[:i - 1] || [s[i] || s[i + 1]] || s[i + 2:], n + 1 FROM (SELECT any_value(r.s) AS s, r.w, any_value(r.n) AS n, arg_min(k.i, k.rank * 1000000 + k.i) AS i FROM r JOIN LATERAL (SELECT i, rank FROM (SELECT unnest(range(1, len(r.s))) AS i) x JOIN merges ON a = r.s[x.i] AND b = r.s[x.i + 1]) k ON true GROUP BY r.w)),
+f AS (SELECT w, arg_max(s, n) AS s FROM r GROUP BY w UNION ALL SELECT w, [w] FROM u WHERE w IN ('<|startoftext|>', '<|endoftext|>')),
+wi AS (SELECT w, list(id ORDER BY k) AS ids FROM (SELECT w, unnest(s) AS piece, unnest(range(len(s))) AS k FROM f) x JOIN vocab USING (piece) GROUP BY w),
+x AS (SELECT d.doc_id, coalesce(ids, []) || [2] AS ids FROM d LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM t JOIN wi USING (w) GROUP BY doc_id) g ON g.doc_id = d.doc_id),
+c AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY n) AS of FROM range(256) AS r(n)),
+y AS (SELECT doc_id, len(ids) AS n, xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(ids, lambda v: [(v & 255)::BIGINT, ((v >> 8) & 255)::BIGINT, ((v >> 16) & 255)::BIGINT, (v >> 24)::BIGINT])), lambda p, b: xor(p >> 8, of[(xor(p, b) & 255) + 1]))) AS crc FROM x, c)
+SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS start, n AS n_tokens, crc AS ids_crc32 FROM y"""
+
+
+def _piece_sql() -> str:
+    """Merges of each distinct run between spaces, the best score first and of equal ones the leftmost; pieces and scores come from the model's file."""
+    from .sentencepiece_codec import Model
+
+    m, U = Model(_tokenizer("piece_bpe_32k.model")), "\u2581"
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    vals = ",".join(f"({quoted(p)},{i},{m.scores[i]!r})" for p, i in m.id.items())
+    byt = ",".join(f"({b},{i})" for b, i in m.bytes.items())
+    return f"""WITH RECURSIVE pieces(piece, id, score) AS (VALUES {vals}), bytes(b, id) AS (VALUES {byt}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all('{U}' || replace(text, ' ', '{U}'), '(?s){U}*[^{U}]+|{U}+$') END AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d), u AS (SELECT DISTINCT w FROM t),
+r(w, s, n) AS (SELECT w, string_split(w, ''), 0 FROM u
+UNION ALL SELECT w, s[:i - 1] || [s[i] || s[i + 1]] || s[i + 2:], n + 1 FROM (SELECT r.w, any_value(r.s) AS s, any_value(r.n) AS n, arg_min(k.i, (-k.score, k.i)) AS i FROM r JOIN LATERAL (SELECT i, score FROM (SELECT unnest(range(1, len(r.s))) AS i) x JOIN pieces ON piece = r.s[x.i] || r.s[x.i + 1]) k ON true GROUP BY r.w)),
+f AS (SELECT w, arg_max(s, n) AS s FROM r GROUP BY w),
+p AS (SELECT w, k, x.piece, pieces.id FROM (SELECT w, unnest(s) AS piece, unnest(range(len(s))) AS k FROM f) x LEFT JOIN pieces USING (piece)),
+b AS (SELECT w, k, 0 AS o, id FROM p WHERE id IS NOT NULL UNION ALL SELECT w, k, o, bytes.id FROM (SELECT w, k, unnest(regexp_extract_all(hex(encode(piece)), '..')) AS h, unnest(range(octet_length(encode(piece)))) AS o FROM p WHERE id IS NULL) JOIN bytes ON b = CAST('0x' || h AS INTEGER)),
+wi AS (SELECT w, list(id ORDER BY k, o) AS ids FROM b GROUP BY w),
+g AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM t JOIN wi USING (w) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_tokens, sha256(array_to_string(coalesce(ids, []), ',')) AS ids_sha256, sha256(replace(text, '{U}', ' ')) AS decoded_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+def _tiling_sql() -> str:
+    """The longest free common run of every candidate pair, marked round by round."""
+    return """WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, w, len(w) AS n, least(5, len(w)) AS least FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, least, array_to_string(w[i:i + least - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - least + 2)) AS i FROM iw)),
+sd AS (SELECT DISTINCT doc_id, least, array_to_string(w[i:i + least - 1], ' ') AS s FROM (SELECT doc_id, w, least, unnest(range(1, len(w) - least + 2)) AS i FROM dw, (SELECT DISTINCT least FROM iw))),
+c AS (SELECT DISTINCT doc_id, item_id, least FROM sd JOIN si USING (least, s)),
+x AS (SELECT item_id, unnest(w) AS word, unnest(range(n)) AS i FROM iw), y AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM dw WHERE doc_id IN (SELECT doc_id FROM c)),
+m AS (SELECT doc_id, item_id, least, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM c JOIN x USING (item_id) JOIN y USING (doc_id, word)),
+r(doc_id, item_id, least, i, j, covered, tiles) AS (SELECT doc_id, item_id, least, -1, NULL, 0, 0 FROM c UNION ALL SELECT doc_id, item_id, least, i, j, 0, 0 FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, i - j, run) >= least
+UNION ALL SELECT doc_id, item_id, least, i, j, covered - best[1], tiles + 1 FROM (
+SELECT *, min([-size, i0, j0]) OVER (PARTITION BY doc_id, item_id) AS best FROM (
+SELECT *, CASE WHEN i < 0 THEN 0 ELSE count(*) OVER k END AS size, min(i) OVER k AS i0, min(j) OVER k AS j0 FROM (
+SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM r) WINDOW k AS (PARTITION BY doc_id, item_id, i - j, run)))
+WHERE -best[1] >= least AND (i < 0 OR NOT (i BETWEEN best[2] AND best[2] - best[1] - 1 OR j BETWEEN best[3] AND best[3] - best[1] - 1))),
+t AS (SELECT doc_id, item_id, max(covered) AS covered, max(tiles) AS tiles FROM r WHERE i < 0 GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_words, CAST(covered AS BIGINT) AS covered_words, CAST(tiles AS BIGINT) AS tiles, covered / n AS coverage FROM t JOIN iw USING (item_id) WHERE covered >= 0.75 * n"""
+
+
 def _secret_sql() -> str:
     """Spans from the lengths of matches and of the gaps between them, a rule at a time."""
 
@@ -147,7 +207,7 @@ g AS (SELECT doc_id, {counts}, {text} FILTER (place < {len(BASE)}) AS base, {tex
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
-#: Brute force: every pair of vectors, every pair of documents that share a shingle.
+#: Brute force: every pair of vectors, every pair of documents that share a shingle, every merge of every word. Language identification alone isn't SQL.
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
@@ -155,6 +215,7 @@ r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r
 n AS (SELECT a, count(*) AS k FROM l GROUP BY a), c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""",
     "op2_ngram_lm": _ngram_sql(),
+    "op3_token_files": _token_sql(),
     "op5_minhash_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
@@ -177,5 +238,7 @@ z AS (SELECT *, max(e) OVER (PARTITION BY conv_id, w) - e + cost AS tail, max(w)
 p AS (SELECT *, 24 + length(replace(replace(replace(role, '%', '%25'), '<|', '<%7C'), chr(10), '%0A')) + length(replace(replace(text, '%', '%25'), '<|', '<%7C')) AS size, 1 + if(head, last, 0) + if(tail <= hist AND w < last AND NOT head, 1, 0) AS times FROM z)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size * times) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id""",
+    "op7_sentencepiece": _piece_sql(),
+    "op9_decontamination": _tiling_sql(),
     "op10_secret_scan": _secret_sql(),
 }
