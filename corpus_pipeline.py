@@ -35,14 +35,15 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept"))
     found = Scratch(spark, "kept").save(found, "ids")
     # Texts stay where they lie unless more ids than that go or occur more than once
-    other = found.filter("not kept or rows > 1").select(F.col("doc_id").alias("of"))
-    if other.limit(FEW + 1).count() <= FEW:
-        other = F.broadcast(other)
+    def ids(where: str) -> DataFrame:
+        some = found.filter(where).select(F.col("doc_id").alias("of"))
+        return F.broadcast(some) if some.limit(FEW + 1).count() <= FEW else some
+
     mine = F.col("doc_id").cast("long") == F.col("of")
-    more = docs.join(found.filter("kept and rows > 1").select(F.col("doc_id").alias("of")), mine, "left_semi")
+    more = docs.join(ids("kept and rows > 1"), mine, "left_semi")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ("text", *(f.name for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != "text"))])
     more = more.withColumn("dedup: place", F.row_number().over(first)).filter(F.col("dedup: place") == 1)
-    return docs.join(other, mine, "left_anti").union(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return docs.join(ids("not kept or rows > 1"), mine, "left_anti").union(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
