@@ -24,7 +24,7 @@ LOWER[65:91] += 32
 RAW_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER_VALUE = RAW_VALUE[LOWER]
 _SHINGLE = _RNG.integers(1, 1 << 62, 8, dtype=np.uint64) * U(2) + U(1)
-_STEP = 1 << 20
+_STEP = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -254,7 +254,7 @@ def _digests(path: str, keep: bool):
         codec = codec_of(path)
         number = [str(i).encode() for i in range(len(codec.model.pieces))]
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 1 << 19):
                 ids, row = codec.batch(part.column("text"))
                 sha, back = [], []
                 for a, b in zip(row[:-1].tolist(), row[1:].tolist()):
