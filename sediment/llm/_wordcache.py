@@ -13,7 +13,7 @@ def ragged(off: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self.clear()
 
