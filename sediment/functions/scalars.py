@@ -16,7 +16,8 @@ SHAPES = (
 )
 # Seconds of epoch times lie in [1e8, 4e9]; the finer units in their bounds.
 EPOCH_UNITS = ((1e8, 4e9, 1e6), (1e11, 4e12, 1e3), (1e14, 4e15, 1.0), (1e17, 4e18, 1e-3))
-# Masks in their order, each replaced by a space.
+# Masks in their order, each replaced by a space. Here and in SHAPES digits are [0-9]: Python, Java
+# and RE2, which all read these patterns, don't agree on the digits that \d stands for.
 MASKS = (
     r"\[I:[^\]]*\](?::[0-9]+)?",
     r"\[([0-9]{1,3}\.){3}[0-9]{1,3}\](?::[0-9]+)?",

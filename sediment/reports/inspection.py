@@ -63,7 +63,7 @@ def disclosures(form: dict) -> list[str]:
     """What a reader put together, left out and assumed, in words."""
     out = []
     if form.get("joined"):
-        out.append(f"{form['joined']:,} lines were joined to the record before or to one of several lines")
+        out.append(f"{form['joined']:,} lines continue a record")
     if form.get("skipped"):
         out.append(f"{form['skipped']:,} lines are in no record")
     s = form.get("syslog")

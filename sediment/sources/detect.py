@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass, field
 
 HEAD = 65_536
-# The two syslog line formats.
+# The two syslog line formats; [0-9], as Python and Java don't agree on \d.
 BSD = r"^([A-Z][a-z]{2})\s+([0-9]{1,2}) ([0-9]{2}:[0-9]{2}:[0-9]{2}) (\S+) ([^\s:]+?)(?:\[([0-9]+)\])?: ?(.*)$"
 RFC5424 = r"^<([0-9]{1,3})>([0-9]{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[.*?\]) ?(.*)$"
 SYSLOG_FIELDS = ["stamp", "host", "ident", "pid", "message"]

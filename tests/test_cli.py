@@ -64,6 +64,25 @@ def test_conformance(spark, files, capsys):
     assert "8 of 8" in capsys.readouterr().out
 
 
+def test_disclosures(spark, tmp_path, capsys):
+    """What a syslog reader assumed and left out stands in the report."""
+    p = tmp_path / "maillog-20260103"
+    p.write_text("stray\n" + "".join(f"Dec 31 23:59:{i:02d} mx1 cron[{i % 3}]: job {i} done\n  and more\n" for i in range(30)) + "Jan  1 00:00:03 mx1 cron[7]: last\n")
+    assert main(["inspect", str(p), "--json"], spark) == 0
+    s = json.loads(capsys.readouterr().out)["format"]
+    assert (s["read"], s["joined"], s["skipped"]) == (31, 30, 1) and s["syslog"]["year_wrapped_records"] == 30 and s["syslog"]["unmatched_samples"] == ["stray"]
+    assert main(["inspect", str(p)], spark) == 0
+    text = capsys.readouterr().out
+    assert "2026 is assumed (rotation-suffix)" in text and "30 records got another year" in text and "not a record: stray" in text and "30 lines continue a record" in text
+
+
+def test_absorbed_shapes_are_reported(spark, files, capsys):
+    assert main(["validate", str(files / "mail.jsonl"), "--schema", str(files / "schema.yaml"), "--json"], spark) == 0
+    d = json.loads(capsys.readouterr().out)
+    matched = next(p for p in d["predicates"] if p["name"] == "classes_resolve")["evidence"]["matched"]
+    assert [m["name"] for m in matched] == ["connect", "disconnect", "queue", "accepted"] and all(m["records"] == 400 and len(m["shortest_shapes"]) == m["shapes"] for m in matched)
+
+
 def test_preview(spark, files, capsys):
     args = ["preview", str(files / "mail.jsonl"), "--schema", str(files / "schema.yaml"), "-n", "7"]
     assert main(args, spark) == 0
