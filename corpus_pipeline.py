@@ -14,7 +14,7 @@ from sediment.llm.sentencepiece_codec import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model is sure enough of; learnt from the labels of four fifths of them.
+    """Documents whose language the model is sure enough of; learnt from all labelled texts, whole, of four fifths of them.
 
     Texts that are null, empty or without a letter go, as their language can't
     be told. Rows are judged one by one, by their whole text: repeated rows

@@ -1,9 +1,12 @@
 """Language identification learns from every labelled row, whole, and is calibrated on all of them."""
 
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sediment.llm import language_id as l
 
 
@@ -54,3 +57,15 @@ def test_rows_are_judged_by_what_others_taught(spark, monkeypatch):
     rows = [(i, f"text {i % 50}", "ab"[i % 2]) for i in range(25_000)] + [(-1, "12", "a"), (-2, None, "a"), (-3, "alone", "c")]
     model = l.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), reject_share=0.01)
     assert seen == [(25_000, 250)] and model.threshold == 0.4 and model.labels == ["a", "b", "c"]
+
+
+def test_pipeline_learns_from_every_row(spark, monkeypatch):
+    words, rows = words_of_rows(1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = []
+    monkeypatch.setattr(corpus_pipeline, "accepted_documents", lambda docs, model: models.append(model) or docs)
+    corpus_pipeline.language_id(spark, docs, "")
+    learnt = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    asked = spark.createDataFrame([(r.doc_id, words[r.doc_id]) for r in learnt.select("doc_id").collect()], "doc_id long, text string")
+    right = Counter(r.lang_pred == "ab"[r.doc_id % 2] for r in l.predict(asked, models[0], ["doc_id"]).collect())
+    assert right[False] < 0.02 * asked.count()
