@@ -106,3 +106,55 @@ k: +7
     for bad in ("a: [1, {b}]", "a: {x}"):
         with pytest.raises(YamlError):
             parse_yaml(bad)
+
+
+@pytest.mark.parametrize("heavy", [0, 100, 10**6])
+def test_keys_of_any_weight(spark, monkeypatch, heavy):
+    """Keys dealt whole and keys spread by time have the same statistics; each row of either is shuffled once or twice, not at every level."""
+    monkeypatch.setattr(identity, "_SPAN_BITS", 6)
+    monkeypatch.setattr(identity, "_HEAVY", heavy)
+    monkeypatch.setattr(identity, "_BUCKETS", 10**6)
+    rng = random.Random(4)
+    rows = [(1, f"k{rng.randrange(40)}", rng.randrange(3000)) for _ in range(600)] + [(2, rng.choice(["None", "", "x+y", "<HEX1>", None]), 7) for _ in range(200)] + [(rng.randrange(3, 90), "z", rng.choice([None, 10**6, rng.randrange(10**9)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "n int, s string, t long")
+    got = {r.candidate: r for r in identity.measure(df, [("n",), ("s",), ("s", "n")], F.col("t")).collect()}
+    assert set(got) == {"n", "s", "s+n"}
+    for name, key in (("n", lambda n, s: n), ("s", lambda n, s: s), ("s+n", lambda n, s: (s, n))):
+        by = {}
+        for n, s, t in rows:
+            if name == "n" or s not in ("None", "", None):
+                by.setdefault(key(n, s), []).append(t)
+        times = [sorted(t for t in v if t is not None) for v in by.values()]
+        sizes, r = sorted(map(len, by.values())), got[name]
+        assert (r.groups, r.singletons, r.p95_size) == (len(by), sizes.count(1), sizes[int(0.95 * (len(by) - 1))])
+        assert r.mean_size == pytest.approx(sum(sizes) / len(by))
+        assert r.median_gap_s == pytest.approx(statistics.median(b - a for v in times for a, b in zip(v, v[1:])) / 1e6)
+        assert r.own_days == pytest.approx(statistics.median(v[-1] - v[0] for v in times if len(v) > 1) / 86400e6)
+        assert r.own_rate == pytest.approx(statistics.median(len(v) / (v[-1] - v[0]) for v in times if len(v) > 1 and v[-1] > v[0]) * 86400e6)
+        assert r.placeholder_rate == pytest.approx(sum(s == "<HEX1>" for n, s, t in rows if name == "n" or s not in ("None", "", None)) / sum(sizes) if name != "n" else 0)
+
+
+def test_keys_are_shuffled_once(spark):
+    """Rows of 20,000 keys: what is shuffled stays near what one deal by key takes."""
+    df = spark.range(200_000).select((F.col("id") % 20_000).alias("key"), (F.col("id") * 86_400_000_000 % (2500 * 86_400_000_000)).alias("t"))
+    m = identity.measure(df, [("key",)], F.col("t"))
+    m.collect()
+    plan = m._jdf.queryExecution().executedPlan()
+    written = sum(int(x) for x in _written(plan))
+    assert 200_000 <= written < 300_000
+
+
+def _written(plan):
+    """Records that each shuffle of a plan wrote, as it ran; a shuffle that is read again counts once."""
+    final, seen = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan, {}
+    todo = [final]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            seen[p.id()] = p.metrics().apply("shuffleRecordsWritten").value()
+        if name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return seen.values()
